@@ -1,37 +1,13 @@
-"""Reading tables and keeping intermediate ones where every executor can read them."""
+"""Reading the tables of a scale folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import fresh_path, kept
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
+__all__ = ["fresh_path", "kept", "table"]
 
-    Only where the setting is absent (local tests) a folder of this machine is chosen, and kept for the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tyche.shared.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("tyche.shared.dir", folder)
-    return folder.rstrip("/")
 
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: later plans start at the files, whatever executors are lost."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
