@@ -1,85 +1,115 @@
-"""Token ids of whole texts by a public tokenizer, one library call per distinct word of a worker.
+"""Token ids of whole texts by a public tokenizer that sees each distinct word of a worker once.
 
 A text is cut only where a run of non-space characters ends and white space begins. No pre-tokenizer or
 normalizer of the supported vocabularies looks across such a place (white space is either dropped or starts the
-next word), so the ids of the pieces, joined, are the ids of the text. Natural text repeats its words: each
-worker keeps the ids of the words seen so far and asks the library only for new ones, in one batch.
+next word), so the ids of the pieces, joined, are the ids of the text. Natural text repeats its words: each worker
+keeps the ids of the words seen so far and asks the library only for new ones; words of plain letters and marks
+go straight to the library's model.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
 # The characters with Unicode's property White_Space.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = "\t-\r \x85\xa0  -     　"
+#: Where cutting before each blank would part white space that belongs together.
+SPACE_THEN_BLANK = re.compile(f"[{SPACE}] |[{SPACE}]$")
 WORD_WITH_SPACE_BEFORE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORD = re.compile(f"[^{SPACE}]+")
+#: What ``str.split`` takes for white space although Unicode's property does not.
+ONLY_PYTHON = re.compile("[\x1c-\x1f]")
+#: Words that need no normalizer or pre-tokenizer: Latin letters, then marks that never join with letters.
+SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?%#$&*;:]*)")
 
 #: Words kept by a worker, and the longest of them in characters.
-KEPT_WORDS, KEPT_CHARS = 400_000, 48
+KEPT_WORDS, KEPT_CHARS = 1_000_000, 64
 #: A longer text is cut at word ends into slices of about this many characters.
-SLICE_CHARS = 1 << 20
-
-
-def drops_space(tokenizer) -> bool:
-    """Whether the vocabulary's pre-tokenizer drops white space, so that words need not carry the space before them."""
-    import json
-
-    pre = json.loads(tokenizer.to_str()).get("pre_tokenizer") or {}
-    return any(x.get("behavior") == "Removed" and x.get("invert") for x in pre.get("pretokenizers", [pre]))
+SLICE_CHARS = 1 << 21
 
 
 def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
     """``text`` cut before white space that follows a word."""
-    start = 0
-    cut = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
-    while len(text) - start > size:
-        found = cut.search(text, start + size)
-        if not found:
-            break
+    start, cut = 0, re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
+    while len(text) - start > size and (found := cut.search(text, start + size)):
         yield text[start : found.start()]
         start = found.start()
     yield text[start:] if start else text
 
 
+class Kept(dict):
+    """Values by word, made when first asked for; at most ``KEPT_WORDS``, and none of words over ``KEPT_CHARS``."""
+
+    def __init__(self, make: Callable[[str], object]):
+        self.make = make
+
+    def __missing__(self, word: str):
+        value = self.make(word)
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+
 class WordEncoder:
+    """``words`` are keys of the kept ids: bare words, where the vocabulary drops white space; else a key stands for a
+    blank and itself, and the first piece of a text, or any piece of irregular spacing, carries a NUL in front."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = (WORD if drops_space(self.tokenizer) else WORD_WITH_SPACE_BEFORE).findall
-        self.known: dict[str, bytes] = {}
-        self.counts: dict[str, int] = {}
-
-    def _learn(self, words: list[str], known: dict, value) -> dict:
-        """The values of all ``words``: the kept ones, or a passing table where some are too long to keep."""
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        found = dict(zip(new, map(value, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        known.update((w, v) for w, v in found.items() if len(w) <= KEPT_CHARS)
-        return {w: found[w] if w in found else known[w] for w in set(words)}
-
-    def _values(self, words: list[str], known: dict, value) -> list:
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            here = self._learn(words, known, value)
-            return [here[w] for w in words]
+        pre = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
+        self.bare = any(x.get("behavior") == "Removed" and x.get("invert") for x in pre.get("pretokenizers", [pre]))
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        #: Byte-level vocabularies write printable bytes as themselves, the others as the letters from U+0100.
+        self.letters = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in printable)}
+        self.cores = Kept(self._model)
+        self.known = Kept(self._ids)
+        self.counts = Kept(lambda w: len(self._ids(w)) // 4)
+        probes = ["Stra\xdfe.", "\xc0\xc9ta\xff,", "a", "ing%%%", "Thnterion"]
+        self.simple = [self._simple(*SIMPLE.fullmatch(w).groups()) for w in probes] == [self._by_library(w if self.bare else " " + w) for w in probes]
+
+    def _model(self, text: str) -> bytes:
+        """Ids of one pre-token, by the model alone."""
+        spelled = text.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+
+    def _simple(self, letters: str, marks: str) -> bytes:
+        """Ids of a word of letters and marks: each part is a pre-token."""
+        letters = letters.lower() if self.bare else " " + letters
+        return self.cores[letters] + self.cores[marks] if marks else self.cores[letters]
+
+    def _ids(self, word: str) -> bytes:
+        if self.simple and (parts := SIMPLE.fullmatch(word)):
+            return self._simple(*parts.groups())
+        return self._by_library(word if self.bare else word[1:] if word[:1] == "\0" else " " + word)
+
+    def _by_library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def words(self, text: str) -> list[str]:
+        if self.bare:
+            return WORD.findall(text) if ONLY_PYTHON.search(text) else text.split()
+        if not text or "\0" in text or SPACE_THEN_BLANK.search(text):
+            return ["\0" + x for x in WORD_WITH_SPACE_BEFORE.findall(text)]
+        first, *rest = text.split(" ")
+        return ["\0" + first, *rest] if first else rest
 
     def ids(self, text: str) -> bytes:
         """All ids as little-endian unsigned 32-bit integers."""
-        as_bytes = lambda e: np.array(e.ids, "<u4").tobytes()
-        return b"".join(b"".join(self._values(self.words(x), self.known, as_bytes)) for x in slices(text))
+        return b"".join(b"".join(map(self.known.__getitem__, self.words(x))) for x in slices(text))
 
-    def count(self, text: str) -> int:
-        return sum(sum(self._values(self.words(x), self.counts, len)) for x in slices(text))
+    def length(self, text: str) -> int:
+        return sum(sum(map(self.counts.__getitem__, self.words(x))) for x in slices(text))
 
 
 @lru_cache(maxsize=4)

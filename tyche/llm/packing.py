@@ -18,6 +18,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from .encoding import encoder
 from .shared import kept
+from .token_counts import balanced
 
 #: Pieces of one length are numbered in so many independent groups.
 SALTS = 64
@@ -39,9 +40,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
         names = ["doc_id", "piece", "start", "length", "ids"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+        for batch in balanced(batches, 1):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), map(encode, batch.column(1).to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 starts = [0, *range(n % capacity or capacity, n, capacity)] if n > capacity else [0]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
@@ -54,7 +55,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
             yield flush()
 
     out = StructType([StructField("doc_id", LongType()), StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids", BinaryType())])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, out)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(cut, out)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:

@@ -39,9 +39,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(vocabulary).count
+        length = encoder(vocabulary).length
         for batch in balanced(batches, 1):
-            counts = pa.array([count(t) for t in batch.column(1).to_pylist()], pa.int64())
+            counts = pa.array(map(length, batch.column(1).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), counts], ["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
+from .token_counts import balanced
 
 BLOCKS = "shard int, shard_start long, first_id long, last_id long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, id_bytes int, dict_hash string, payload binary"
 #: Documents whose ids train the dictionary, the ids taken from each, and the dictionary's size in bytes.
@@ -44,7 +45,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int) -> bytes:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [serialized(encoder(vocabulary).ids(t or ""), end_id, width)[: SAMPLE_IDS * width] for t in batch.column(0).to_pylist()]
+            ids = [serialized(x, end_id, width)[: SAMPLE_IDS * width] for x in map(encoder(vocabulary).ids, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     samples = [bytes(r.ids) for r in texts.mapInArrow(encoded, "ids binary").limit(4 * SAMPLE_DOCS).collect()]
@@ -67,7 +68,7 @@ def write_token_store(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     import zstandard
 
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     dictionary, width = train_dictionary(docs, vocabulary, end_id), id_width(vocabulary)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(dict_hash, bytearray(dictionary))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -88,9 +89,9 @@ def write_token_store(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.string(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                frame = serialized(encode(text.as_py() or ""), end_id, width)
+        for batch in balanced(batches, 1):
+            for doc_id, plain in zip(batch.column(0).to_pylist(), map(encode, batch.column(1).to_pylist()), strict=True):
+                frame = serialized(plain, end_id, width)
                 ids.append(doc_id)
                 counts.append(len(frame) // width)
                 frames.append(compress(frame))
