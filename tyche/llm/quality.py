@@ -150,3 +150,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.value.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``least``, as :func:`quality_scores` gives it."""
+    model = docs.sparkSession.sparkContext.broadcast(train(*training_rows(docs, labels)))
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in balanced(batches, text_at):
+            yield batch.filter(pa.array([model.value.score(t or "") >= least for t in batch.column(text_at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
