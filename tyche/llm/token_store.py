@@ -141,4 +141,5 @@ def read_token_store(spark: SparkSession, path: str, doc_ids: tuple[int, int] |
 
     # An Arrow batch of default length would hold thousands of blocks; each is handed over alone as its size allows.
     documents = chosen.mapInArrow(inflate, "shard int, within long, doc_id long, n_tokens long, ids binary")
-    return documents.join(bases, "shard").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
+    # The bases are one row for each shard that one writing job made.
+    return documents.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
