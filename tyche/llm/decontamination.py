@@ -88,7 +88,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = trained.drop("words").join(tests, "seed").select(F.col("doc_id").alias("hit_id"), "item_id", shift).distinct()
         hits = found.join(texts, found.hit_id.eqNullSafe(texts.doc_id)).withColumn("offset", F.col("doc_pos"))
     best, total = aligned(F.col("words"), F.col("item"), F.col("offset"), WINDOW, SUBS)
-    leaks = hits.join(long_items, "item_id").select("doc_id", "item_id", "doc_pos", best.alias("window_words"), total.alias("matched_words"))
+    texts_of = long_items.withColumnRenamed("item_id", "known_id")
+    compared = hits.join(texts_of, hits.item_id.eqNullSafe(texts_of.known_id))
+    leaks = compared.select("doc_id", "item_id", "doc_pos", best.alias("window_words"), total.alias("matched_words"))
 
     wholes = items.filter((F.size("item") >= SHORTEST) & (F.size("item") < WINDOW)).select("item_id", F.size("item").alias("n"), F.xxhash64("item").alias("seed"))
     sizes = sorted(r.n for r in wholes.select("n").distinct().collect())
