@@ -81,8 +81,9 @@ class FactorisationMachine:
         return float(1 / (1 + np.exp(-np.clip(self.logit(*self.inputs(*features(text))), -30, 30))))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.ndarray, seed: int = 11, epochs: int = 6) -> FactorisationMachine:
-    """AdaGrad on the logistic loss; each class has half the weight, and the bias is moved back to the classes' shares.
+def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.ndarray, seed: int = 11, updates: int = 36_000) -> FactorisationMachine:
+    """AdaGrad on the logistic loss, for about ``updates`` rows in at most 60 passes; each class has half the weight,
+    and the bias is moved back to the classes' shares.
 
     Rows of one class only, or none, give a constant score.
     """
@@ -98,7 +99,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.nda
         return model
     seen = [model.inputs(*r) for r in rows]
     g0, gw, gv = 1e-6, np.full(size, 1e-6, np.float32), np.full((size, RANK), 1e-6, np.float32)
-    for _ in range(epochs):
+    for _ in range(min(60, max(1, round(updates / len(labels))))):
         for k in rng.permutation(len(labels)):
             at, x = seen[k]
             v = model.factors[at] * x[:, None]
