@@ -10,9 +10,11 @@ A subset of at most one element says little, and an empty one nothing: such weak
 ``spare`` or more parts of the set have one. If fewer do, one of the ``spare`` agreeing parts is not weak, so the pair
 still meets; if both sets have as many, both keep all their signatures.
 
-Equal sets are one node. Within a signature's group only neighbours in node order and the first with each are
-compared, which joins most of a large group without looking at its pairs. Groups that stay apart are then
-compared in full across the components found so far, so no link that could join components is missed.
+Equal sets are one node. Nodes that share a signature are first told apart by parity sketches: a node's bit b is the
+parity of its features that hash to b, and two sketches never differ in more bits than the sets differ in elements, so
+the test only rules out. What is left ties nodes into clusters, and each cluster is compared exactly, in blocks: a task
+multiplies the incidence matrices of two blocks. Both steps return spanning forests, not pairs, so rows stay linear in
+the size of a group while every pair that shares a signature is decided.
 """
 
 from __future__ import annotations
@@ -32,8 +34,12 @@ from .token_counts import balanced
 
 #: Ratio of the bands' bounds, and the largest size that has a band of its own.
 RATIO, LARGEST = 1.2, 10**9
-#: Candidate nodes up to this number (8 bytes each) are looked up in a broadcast array; more are joined.
+#: Nodes of a group that are told apart together, bytes of features in a block, and columns multiplied at a time.
+GROUP, BLOCK_BYTES, COLUMNS = 2048, 4 << 20, 2048
+#: Clustered nodes up to this number (about 50 bytes each) are looked up in broadcast arrays; more are joined.
 BROADCAST_NODES = 1_000_000
+#: Bits of a sketch for each feature, before rounding up to a power of two.
+SKETCH_BITS = 2
 U = np.uint64
 
 
@@ -123,18 +129,25 @@ def _sets(batches: Iterator[pa.RecordBatch], text_at: int, size: int) -> Iterato
         yield batch, list(shingle_sets(batch.column(text_at).to_pylist(), size))
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """Parity bits, a power of two of them; XOR of its halves is the sketch of half the length."""
+    bits = 1 << max(6, (SKETCH_BITS * len(features) - 1).bit_length())
+    counts = np.bincount((mixed(features ^ U(0x5EED)) & U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1).tobytes()
+
+
 def set_nodes(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, node`` of each row; ``node`` is null for an empty set."""
+    """``doc_id, n_shingles, node, sketch`` of each row; ``node`` is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, 1, size):
             nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), nodes], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), nodes, pa.array(map(sketch, sets), pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
 
 
-def signature_rows(docs: DataFrame, size: int, percent: int, only: set[int] | None = None) -> DataFrame:
+def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``sig, node`` of all sets; equal sets within a task sign once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +155,7 @@ def signature_rows(docs: DataFrame, size: int, percent: int, only: set[int] | No
         for _, sets in _sets(batches, 0, size):
             signed, nodes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
             for s in sets:
-                if len(s) and (node := node_of(s)) not in seen and (only is None or node in only):
+                if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
                     signed.append(signatures(s, percent))
                     nodes.append(np.full(len(signed[-1]), node))
@@ -151,45 +164,143 @@ def signature_rows(docs: DataFrame, size: int, percent: int, only: set[int] | No
     return docs.select("text").mapInArrow(run, "sig long, node long")
 
 
-def feature_rows(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """``node, features`` (sorted 64-bit integers) of the nodes in ``wanted``."""
-    few = wanted.count() <= BROADCAST_NODES
-    only = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.node for r in wanted.collect()], np.int64))) if few else None
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) of ``linked`` that span its connected components."""
+    seen = [np.zeros(n, bool) for n in linked.shape]
+    sides, edges = (linked, linked.T), []
+    for root in np.flatnonzero(linked.any(1)):
+        if seen[0][root]:
+            continue
+        seen[0][root] = True
+        front, side = np.array([root]), 0
+        while len(front):
+            near = sides[side][front]
+            new = np.flatnonzero(near.any(0) & ~seen[1 - side])
+            by = front[near[:, new].argmax(0)]
+            edges += zip(*((by, new) if side == 0 else (new, by)), strict=True)
+            seen[1 - side][new] = True
+            front, side = new, 1 - side
+    return edges
+
+
+def similar_blocks(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of ``left`` and ``right`` are similar, by products of incidence matrices over shared features."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
+    places = []
+    for side, n in zip((left, right), sizes, strict=True):
+        flat, row = np.concatenate(side), np.repeat(np.arange(len(side)), n)
+        at = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
+        hit = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((row[hit][order], at[hit][order]))
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, len(common), COLUMNS):
+        matrices = []
+        for (row, at), side in zip(places, (left, right), strict=True):
+            a, b = np.searchsorted(at, [first, first + COLUMNS])
+            x = np.zeros((len(side), min(COLUMNS, len(common) - first)), np.float32)
+            x[row[a:b], at[a:b] - first] = 1
+            matrices.append(x)
+        shared += matrices[0] @ matrices[1].T
+    return 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
+
+
+def may_be_similar(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs the sizes and sketches do not rule out; sketches are folded to the shortest."""
+    shortest = min(map(len, sketches))
+    folded = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, shortest), 0) for x in sketches]
+    signs = 1 - 2 * np.unpackbits(np.stack(folded), axis=1).astype(np.float32)
+    differ = (8 * shortest - signs @ signs.T) / 2
+    together = sizes[:, None] + sizes[None, :]
+    return (differ * (100 + percent) <= together * (100 - percent)) & (100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes))
+
+
+def groups(rows: DataFrame) -> DataFrame:
+    """``unit, node``: the distinct sets of nodes that share a signature; a set over ``GROUP`` comes as pairs of its parts."""
+    by_sig = Window.partitionBy("sig").orderBy("node")
+    whole = by_sig.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    single = rows.withColumn("before", F.lag("node").over(by_sig)).filter("before is null or before != node").drop("before")
+    met = single.withColumn("size", F.count("*").over(whole)).filter("size > 1")
+    met = met.withColumn("parts", F.ceil(F.col("size") / GROUP).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    parts = met.groupBy("sig", "parts", "part").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    parts = kept(parts.withColumn("sig", F.when(F.col("parts") > 1, F.col("sig"))).distinct(), "groups")
+    large = parts.filter("parts > 1")
+    left = large.select("sig", F.col("nodes").alias("left_nodes"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(large.select("sig", "part", "nodes"), ["sig", "part"]).select(F.array_union("left_nodes", "nodes").alias("nodes"))
+    units = parts.filter("parts = 1").select("nodes").unionByName(pairs).distinct()
+    return units.select(F.xxhash64("nodes").alias("unit"), F.explode("nodes").alias("node"))
+
+
+def ties(units: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``src, dst``: forests that span the pairs of each unit which may be similar."""
+    sketches = nodes.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    members = units.join(sketches, "node").groupBy("unit").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, sets in _sets(batches, 0, size):
-            rows: list[tuple[int, bytes]] = []
-            for s in sets:
-                if not len(s) or (node := node_of(s)) in seen:
-                    continue
-                if only is not None and (not len(only.value) or only.value[min(np.searchsorted(only.value, node), len(only.value) - 1)] != node):
-                    continue
-                seen.add(node)
-                rows.append((node, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "features"])
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for unit in batch.column(0):
+                nodes, sizes, sketches = (unit.values.field(k) for k in range(3))
+                nodes = nodes.to_pylist()
+                maybe = may_be_similar(sizes.to_numpy().astype(np.int64), sketches.to_pylist(), percent)
+                found.update((nodes[i], nodes[j]) for i, j in forest(maybe) if i != j)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["src", "dst"])
 
-    found = docs.select("text").mapInArrow(run, "node long, features binary")
-    return found.dropDuplicates(["node"]) if few else found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return members.select("members").mapInArrow(run, "src long, dst long").distinct()
 
 
-def verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """``a, b, linked``: the exact Jaccard test of each pair."""
-    first = features.select(F.col("node").alias("a"), F.col("features").alias("features_a"))
-    second = features.select(F.col("node").alias("b"), F.col("features").alias("features_b"))
+def placed_features(docs: DataFrame, size: int, placed: DataFrame) -> DataFrame:
+    """``cluster, block, blocks, node, features`` of the nodes in ``placed``, each from its document ``doc_id``.
+
+    A node comes twice where its document's id is repeated or null.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    few = placed.count() <= BROADCAST_NODES
+    places = {r.node: (r.cluster, r.block, r.blocks) for r in placed.collect()} if few else None
+    known = docs.sparkSession.sparkContext.broadcast((places, {r.doc_id for r in placed.select("doc_id").collect()})) if few else None
+    read = docs if few else docs.join(placed.select("doc_id"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cluster", "block", "blocks", "node", "features"]
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            if few:
+                ids = known.value[1]
+                batch = batch.filter(pa.array([x is None or x in ids for x in batch.column(0).to_pylist()], pa.bool_()))
+            for _, sets in _sets(iter([batch]), 1, size):
+                found = [(node_of(s), s.tobytes()) for s in sets if len(s)]
+                rows = [(*known.value[0][n], n, f) for n, f in found if n in known.value[0]] if few else [(0, 0, 0, n, f) for n, f in found]
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names)
+
+    found = read.mapInArrow(run, "cluster long, block int, blocks int, node long, features binary")
+    return found if few else found.select("node", "features").join(placed.drop("doc_id"), "node")
+
+
+def cluster_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+    """``src, dst``: links that span the similar pairs within each of ``clusters(vertex, comp)``."""
+    chosen = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    members = kept(chosen.join(clusters.select(F.col("vertex").alias("node"), F.col("comp").alias("cluster")), "node"), "members")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(8 * F.col("n")) / BLOCK_BYTES).cast("int").alias("blocks"))
+    placed = kept(members.join(blocks, "cluster").select("node", "doc_id", "cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks"), "placed")
+    packed = placed_features(docs, size, placed).groupBy("cluster", "blocks", "block").agg(F.collect_list(F.struct("node", "features")).alias("sets"))
+    packed = kept(packed, "blocks")  # a set list holds about BLOCK_BYTES
+    large = packed.filter("blocks > 1")
+    left = large.select("cluster", F.col("sets").alias("left_sets"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block"))
+    both = left.join(large.select("cluster", "block", F.col("sets").alias("right_sets")), ["cluster", "block"]).select("left_sets", "right_sets")
+    alone = packed.filter("blocks = 1").select(F.col("sets").alias("left_sets"), F.lit(None).cast(packed.schema["sets"].dataType).alias("right_sets"))
 
-    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "features_a", "features_b")
-    return joined.mapInArrow(run, "a long, b long, linked boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacked = lambda sets: (sets.values.field(0).to_pylist(), [np.frombuffer(x.as_buffer(), U) for x in sets.values.field(1)])
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                a, left = unpacked(x)
+                b, right = unpacked(y) if y.is_valid else (a, left)
+                found.update((a[i], b[j]) for i, j in forest(similar_blocks(left, right, percent)) if a[i] != b[j])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["src", "dst"])
+
+    return alone.unionByName(both).mapInArrow(run, "src long, dst long")
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -203,24 +314,8 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     gives an empty result. Sets are told apart by 64 bits of a hash, features by 64 bits each.
     """
     nodes = kept(set_nodes(docs, size), "set-nodes")
-    rows = signature_rows(docs, size, percent)
-    group = Window.partitionBy("sig").orderBy("node")
-    met = rows.select("node", F.lag("node").over(group).alias("before"), F.first("node").over(group).alias("first"))
-    met = met.filter(F.col("before").isNotNull()).select(F.explode(F.array(F.struct(F.col("before").alias("a")), F.struct(F.col("first").alias("a")))).alias("x"), F.col("node").alias("b"))
-    pairs = kept(met.select("x.a", "b").filter("a != b").distinct(), "pairs")
-    ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-    features = kept(feature_rows(docs, size, ends(pairs)), "features")
-    tested = kept(verified(pairs, features, percent), "tested")
-    links = tested.filter("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    labels = components(links)
-
-    # What stays apart although candidates tie it together is compared in full across the components.
-    fine = lambda end: labels.select(F.col("vertex").alias(end), F.col("comp").alias(f"{end}_comp"))
-    apart = tested.filter("not linked").join(fine("a"), "a", "left").join(fine("b"), "b", "left")
-    apart = apart.filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b"))
-    if not apart.isEmpty():
-        links = links.unionByName(_across(docs, size, percent, tested, features, labels, apart))
-        labels = components(links)
+    clusters = components(ties(groups(signature_rows(docs, size, percent)), nodes, percent))
+    labels = components(kept(cluster_links(docs, nodes, clusters, size, percent), "links"))
 
     first = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     rooted = first.join(labels.select(F.col("vertex").alias("node"), "comp"), "node", "left").select("node", "first_id", F.coalesce("comp", "node").alias("root"))
@@ -228,29 +323,3 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     named = kept(rooted.join(named, "root").select("node", "component_id"), "components")
     alone = nodes.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return nodes.join(named, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
-
-
-def _across(docs: DataFrame, size: int, percent: int, tested: DataFrame, features: DataFrame, labels: DataFrame, apart: DataFrame) -> DataFrame:
-    """Links between different components, from all pairs that share a signature there."""
-    coarse = components(tested.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    open_groups = apart.select(F.col("a").alias("vertex")).join(coarse, "vertex").select("comp").distinct()
-    unsettled = coarse.join(open_groups, "comp", "left_semi").select(F.col("vertex").alias("node"))
-    unsettled = unsettled.join(labels.withColumnRenamed("vertex", "node"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    unsettled = kept(unsettled, "unsettled")
-    again = features.join(unsettled, "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signed = [signatures(np.frombuffer(x.as_buffer(), U), percent) for x in batch.column(2)]
-            many = [len(s) for s in signed]
-            repeat = lambda column, many=many: pa.array(np.repeat(np.array(column.to_pylist(), np.int64), many))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U), *signed]).astype(np.int64)), repeat(batch.column(0)), repeat(batch.column(1))], ["sig", "node", "comp"])
-
-    signed = kept(again.select("node", "comp", "features").mapInArrow(run, "sig long, node long, comp long"), "signatures")
-    mixed_groups = signed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("sig")
-    signed = kept(signed.join(mixed_groups, "sig", "left_semi"), "signatures")
-    one = signed.select("sig", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    two = signed.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = one.join(two, "sig").filter("a < b and comp_a != comp_b").select("a", "b").distinct()
-    pairs = kept(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    return verified(pairs, features, percent).filter("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
