@@ -43,15 +43,15 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
 
 
 class Kept(dict):
-    """Values by word, made when first asked for; at most ``KEPT_WORDS``, and none of words over ``KEPT_CHARS``."""
+    """Values by word, made when first asked for; at most ``most``, and none of words over ``KEPT_CHARS``."""
 
-    def __init__(self, make: Callable[[str], object]):
-        self.make = make
+    def __init__(self, make: Callable[[str], object], most: int = KEPT_WORDS):
+        self.make, self.most = make, most
 
     def __missing__(self, word: str):
         value = self.make(word)
         if len(word) <= KEPT_CHARS:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = value
         return value

@@ -35,7 +35,7 @@ from .token_counts import balanced
 #: Ratio of the bands' bounds, and the largest size that has a band of its own.
 RATIO, LARGEST = 1.2, 10**9
 #: Nodes of a group that are told apart together, bytes of features in a block, and columns multiplied at a time.
-GROUP, BLOCK_BYTES, COLUMNS = 2048, 4 << 20, 2048
+GROUP, BLOCK_BYTES, COLUMNS = 1024, 1 << 20, 2048
 #: Clustered nodes up to this number (about 50 bytes each) are looked up in broadcast arrays; more are joined.
 BROADCAST_NODES = 1_000_000
 #: Bits of a sketch for each feature, before rounding up to a power of two.

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .encoding import Kept
 from .token_counts import balanced
 
 #: Labelled rows that may train the model (those with the smallest hashes of their id), and the features of each.
@@ -40,20 +41,28 @@ def statistics(text: bytes, words: list[bytes], counts: Counter) -> list[float]:
     ]
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Bucket numbers and values of the hashed words and shapes, and the statistics; one pass over the whole text."""
+def places(word: bytes) -> tuple[int, int]:
+    """Buckets of a word's letters, lower-cased, and of its shape: runs of upper case, lower case and digits shortened."""
     from xxhash import xxh32_intdigest
 
+    core = LETTERS.search(word)
+    shape = re.sub(rb"a+", b"a", re.sub(rb"A+", b"A", re.sub(rb"0+", b"0", word.translate(SHAPE))))
+    return xxh32_intdigest(core[0].lower() if core else b"") % BUCKETS, xxh32_intdigest(b"shape " + shape[:12]) % BUCKETS
+
+
+#: Buckets of the words that a worker has met.
+PLACES = Kept(places, 200_000)
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Bucket numbers and values of the hashed words and shapes, and the statistics; one pass over the whole text."""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
     counts = Counter(words)
-    hashed: Counter = Counter()
-    for word, n in counts.items():
-        core = LETTERS.search(word)
-        hashed[xxh32_intdigest(core[0].lower() if core else b"") % BUCKETS] += n
-        shape = word.translate(SHAPE)
-        shape = re.sub(rb"a+", b"a", re.sub(rb"A+", b"A", re.sub(rb"0+", b"0", shape)))
-        hashed[xxh32_intdigest(b"shape " + shape[:12]) % BUCKETS] += n
+    hashed: dict[int, int] = {}
+    for (core, shape), n in zip(map(PLACES.__getitem__, counts), counts.values(), strict=True):
+        hashed[core] = hashed.get(core, 0) + n
+        hashed[shape] = hashed.get(shape, 0) + n
     at = np.fromiter(hashed.keys(), np.int64, len(hashed))
     x = np.log1p(np.fromiter(hashed.values(), np.float64, len(hashed)))
     norm = np.sqrt((x * x).sum()) or 1.0
