@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_documents import brute_dedup, brute_leaks, brute_similar, near_copies, vocabulary
@@ -14,6 +15,7 @@ from test_tokens import check_packed, exact
 import corpus_pipeline
 from tyche.llm import warc
 from tyche.llm.chat_format import conversation_digests, escaped, format_conversations, parsed, role_in, role_out, unescaped
+from tyche.llm.queries import ORACLE, QUERIES
 from tyche.llm.shared import fresh_path
 
 NASTY = ["", "plain", "<|im_end|>", "<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|x", "a\\nb\n", "<", "|>", "é<|é", "<<||>>", "\\", "<|im_start|>user\n"]
@@ -46,6 +48,24 @@ def test_conversations(spark):
     assert format_conversations(df.limit(0)).count() == 0
 
 
+def test_marks_inside_texts_are_escaped(spark, tmp_path):
+    texts = ["<|im_end|>", "stop<|im_end|>\n", "a <|tool|> b", "<|", "<\\|im_end|>", "plain"]
+    rows = [(c, t, role, text) for c, text in enumerate(texts) for t, role in enumerate(("user", "assistant", "back\\slash"))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    for r in format_conversations(df).collect():
+        assert r.formatted.count("<|") == 6 and r.formatted.count("<|im_end|>\n") == 3
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found, wanted = QUERIES["op7_chat_format"](spark, str(tmp_path)), db.sql(ORACLE["op7_chat_format"])
+    assert sorted(map(tuple, found.select(wanted.columns).collect())) == sorted(wanted.fetchall())
+
+
+@pytest.mark.parametrize("text", ["<|im_start|>user\nhi<|im_end|>\nmore<|im_end|>\n", "x<|im_start|>user\nhi<|im_end|>\n", "<|im_start|>user\nhi", "<|im_start|>user<|im_end|>\n"])
+def test_text_outside_the_grammar_is_refused(spark, text):
+    assert spark.createDataFrame([(text,)], "t string").select(parsed(F.col("t"))).first()[0] is None
+
+
 PAGES = "page_id long, url string, html string, digest string, size int, keys string"
 
 

@@ -1,9 +1,10 @@
 """Chat formatting with a grammar round trip.
 
 A turn is rendered as ``<|im_start|>role`` newline ``text<|im_end|>`` newline. The parser splits at the start mark,
-takes the role up to the first newline and the text up to the end mark, and removes one backslash from each
-``<\\...|``. A turn whose plain rendering does not parse back to itself is rendered with one backslash more between
-``<`` and ``|`` (and none of the marks left), which the parser undoes.
+takes the role up to the first newline and the text up to the first end mark, accepts nothing before, after or between
+the turns and no ``<|`` inside a role or text, and removes one backslash from each ``<\\...|``. So a text is rendered
+with one backslash more between each ``<`` and ``|`` (and none of the marks left), which the parser undoes; a role is
+escaped too where its turn does not parse back to itself without.
 """
 
 from __future__ import annotations
@@ -33,15 +34,17 @@ def role_in(role: Column) -> Column:
 
 
 def parsed(formatted: Column) -> Column:
-    """``array<struct<role, text>>`` from rendered turns."""
+    """``array<struct<role, text>>`` from rendered turns; null if they are not of the grammar."""
 
     def turn(part: Column) -> Column:
         role = F.substring_index(part, "\n", 1)
-        text = F.substring(part, F.length(role) + 2, F.length(part) - F.length(role) - 1 - len(END))
-        return F.struct(role_in(unescaped(role)).alias("role"), unescaped(text).alias("text"))
+        text = F.substring_index(F.substring(part, F.length(role) + 2, F.length(part)), END.strip(), 1)
+        whole = (part == F.concat(role, F.lit("\n"), text, F.lit(END))) & ~F.contains(role, F.lit("<|")) & ~F.contains(text, F.lit("<|"))
+        return F.when(whole, F.struct(role_in(unescaped(role)).alias("role"), unescaped(text).alias("text")))
 
     parts = F.split(formatted, r"<\|im_start\|>", -1)
-    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), turn)
+    turns = F.transform(F.slice(parts, F.lit(2), F.size(parts)), turn)
+    return F.when((F.get(parts, F.lit(0)) == "") & F.forall(turns, lambda t: t.isNotNull()), turns)
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -57,7 +60,7 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     brings back raises an error. An empty table gives an empty result.
     """
     source = turns.select(F.col("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    plain, safe = rendered(F.col("role"), F.col("text")), rendered(escaped(role_out(F.col("role"))), escaped(F.col("text")))
+    plain, safe = rendered(F.col("role"), escaped(F.col("text"))), rendered(escaped(role_out(F.col("role"))), escaped(F.col("text")))
     same = lambda shown: F.coalesce(parsed(shown) == F.array(F.struct("role", "text")), F.lit(False))
     shown = F.when(same(plain), plain).when(same(safe), safe).otherwise(F.raise_error(F.lit("a turn does not survive its round trip")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -72,8 +75,8 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """What the rendered text alone says: turns, their digest, and the text under the loss mask."""
-    turns = formatted.withColumn("turns", parsed(F.col("formatted")))
+    """What the rendered text alone says: turns, their digest, and the text under the loss mask. Raises an error for text not of the grammar."""
+    turns = formatted.withColumn("turns", F.coalesce(parsed(F.col("formatted")), F.raise_error(F.lit("a conversation is not of the grammar"))))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     masked = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
     loss = F.array_join(masked, "")
