@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 
@@ -163,3 +164,34 @@ def test_completion_beats_best_fit():
     histogram = {6: 1, 5: 1, 4: 2, 3: 2, 2: 1}  # 6+4, 5+3+2, 4+3: best-fit decreasing finds as many or more
     assert sum(m for _, m in packing.bin_completion(histogram, 9)) == fewest_bins([6, 5, 4, 4, 3, 3, 2], 9)
     assert packing.bin_completion({}, 10) == []
+
+
+def test_completion_looks_beyond_the_first_filling_without_waste():
+    lengths = [60, 59, 58, 32, 30, 20, 20, 11, 10]  # 60+20+20, 59+30+11, 58+32+10
+    assert sum(m for _, m in packing.bin_completion({x: lengths.count(x) for x in lengths}, 100)) == 3
+
+
+def test_fillings_are_all_undominated_ones():
+    rng = random.Random(5)
+    for _ in range(200):
+        space, left = rng.randint(5, 40), {rng.randint(1, 40): rng.randint(1, 4) for _ in range(rng.randint(1, 7))}
+        lengths = sorted(left, reverse=True)
+        found = list(packing.fillings(space, lengths, left, iter(range(10**6))))
+        wanted = set()
+        for counts in itertools.product(*(range(left[x] + 1) for x in lengths)):
+            items = tuple((x, n) for x, n in zip(lengths, counts, strict=True) if n)
+            waste = space - sum(x * n for x, n in items)
+            spare = [x for x, n in zip(lengths, counts, strict=True) if n < left[x]]
+            if waste >= 0 and not any(x <= waste or any(y < x <= y + waste for y, _ in items) for x in spare):
+                wanted.add((items, waste))
+        if space in left:
+            wanted = {(((space, 1),), 0)}
+        assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_many_tiny_pieces(spark):
+    assert sum(m for _, m in packing.bin_completion({1: 5000}, 2048)) == 3
+    assert next(packing.fillings(5000, [1], {1: 5000}, iter(range(9)))) == (((1, 5000),), 0)
+    rows = packing.pack_documents(table(spark, [(k, "") for k in range(5000)]), public_tokenizers.path(FILES[0]), 2048).collect()
+    check_packed(rows, 2048)
+    assert len(rows) == 5000 and len({r.sequence_id for r in rows}) == 3

@@ -8,7 +8,9 @@ then numbers the pieces of each length and looks up the place that the plan give
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,10 @@ from .token_counts import balanced
 
 #: Pieces of one length are numbered in so many independent groups.
 SALTS = 64
-Pattern = tuple[tuple[tuple[int, int], ...], int]
+#: Fillings looked at for each branch of the search, on average, and those that are sorted together.
+LOOKS = RUN = 60
+Filling = tuple[tuple[int, int], ...]
+Pattern = tuple[Filling, int]
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -82,45 +87,54 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(filling), many) for same in bins.values() for filling, many in same]
 
 
-def fillings(space: int, lengths: list[int], left: dict[int, int], most: int = 60) -> list[tuple[tuple[int, ...], int]]:
-    """Undominated fillings of ``space`` around the largest item, the fullest first: (items in descending order, waste).
+def fillings(space: int, lengths: list[int], left: dict[int, int], looks: Iterator[int]) -> Iterator[tuple[Filling, int]]:
+    """All undominated fillings of ``space`` around the largest item, one by one: (lengths and counts in descending order, waste).
 
     A filling is dominated if another remaining item still fits, or fits in place of a smaller one of its items
-    within the waste. At most ``most`` are looked at per bin.
+    within the waste, or if one item fills the space alone. Fillings without waste come as they are found, the others
+    in runs of ``RUN`` looked at, the fullest of a run first. Each one looked at takes one of ``looks``; nothing else
+    ends the enumeration. ``left`` must be the same whenever the next filling is asked for.
     """
     usable = [x for x in lengths if x <= space]
-    present = set(usable)
-    out: list[tuple[tuple[int, ...], int]] = []
-    seen = 0
+    if usable and usable[0] == space:
+        yield ((space, 1),), 0
+        return
+    rising = usable[::-1]
+
+    def dominated(items: Filling, waste: int) -> bool:
+        used = dict(items)
+        free = lambda above, most: any(left[x] > used.get(x, 0) for x in rising[bisect_right(rising, above) : bisect_right(rising, most)])
+        return free(0, waste) or any(free(x, x + waste) for x in used)
 
-    def dominated(items: tuple[int, ...], waste: int) -> bool:
-        spare = {x: left[x] - items.count(x) for x in set(items)}
-        free = lambda x: x in present and spare.get(x, left[x]) > 0
-        if any(free(x) for x in range(1, waste + 1)):
-            return True
-        return waste > 0 and any(free(y) for x in set(items) for y in range(x + 1, x + waste + 1))
-
-    def grow(room: int, at: int, items: tuple[int, ...]) -> bool:
-        nonlocal seen
-        if room == 0:
-            out.append((items, 0))
-            return True
-        lowest = True
-        while at < len(usable):
-            x = usable[at]
-            if x <= room and left[x] > items.count(x):
-                lowest = False
-                if grow(room - x, at, (*items, x)) or seen >= most:
-                    return seen >= most or bool(out and out[-1][1] == 0)
-            at += 1
-        if lowest:
-            seen += 1
-            if not dominated(items, room):
-                out.append((items, room))
-        return seen >= most
-
-    grow(space, 0, ())
-    return sorted(set(out), key=lambda x: (x[1], [-i for i in x[0]])) or [((), space)]
+    run: list[tuple[Filling, int]] = []
+    seen = 0
+    # Room, place of the next length and its count still to be tried, items, and whether no length fitted so far.
+    stack: list[list] = [[space, 0, None, (), True]]
+    while stack:
+        top = stack[-1]
+        room, at, many, items, lowest = top
+        if many is None:
+            at = bisect_left(usable, -room, at, key=neg)
+            if room == 0 or at == len(usable):
+                stack.pop()
+                if not lowest:
+                    continue
+                if next(looks, None) is None:
+                    break
+                seen += 1
+                if room == 0:
+                    yield items, 0
+                elif not dominated(items, room):
+                    run.append((items, room))
+                if seen % RUN == 0:
+                    yield from sorted(run, key=lambda f: f[1])
+                    run = []
+                continue
+            many = min(left[usable[at]], room // usable[at])
+        top[1:] = (at + 1, None, items, False) if many == 1 else (at, many - 1, items, False)
+        x = usable[at]
+        stack.append([room - many * x, at + 1, None, (*items, (x, many)), True])
+    yield from sorted(run, key=lambda f: f[1])
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -139,54 +153,71 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 def bin_completion(histogram: dict[int, int], capacity: int, nodes: int = 6000) -> list[Pattern]:
     """Patterns that hold every item of ``histogram`` in as few bins as the search finds.
 
-    Depth first: the largest remaining item is completed by each undominated filling, the fullest first, for as
-    many bins as the counts allow; a branch is left once its waste alone rules out fewer bins than the best so far.
-    Best-fit decreasing gives the first incumbent. The search ends at the lower bound or after ``nodes`` bins.
+    Depth first: the largest remaining item is completed by each undominated filling, for as many bins as the counts
+    allow, then by each for fewer; for the same length, no filling comes again behind one that it stands before. A branch is
+    left once its waste alone rules out fewer bins than the best so far. Best-fit decreasing gives the first
+    incumbent. The search ends at the lower bound, when nothing is left to try (the packing is then optimal), or after
+    ``nodes`` branches or ``LOOKS`` times as many fillings looked at.
     """
     histogram = {int(k): int(n) for k, n in histogram.items() if n}
     if not histogram:
         return []
     best = best_fit(histogram, capacity)
     fewest, bound = sum(m for _, m in best), lower_bound(histogram, capacity)
+    if fewest == bound:
+        return best
     volume = sum(k * n for k, n in histogram.items())
     left = dict(histogram)
+    looks = iter(range(LOOKS * nodes))
     path: list[Pattern] = []
-    stack: list[tuple[Iterator, int, int]] = []  # choices still open, bins and waste before them
+    tried: set[Filling] = set()
+    stack: list[tuple[Iterator, list[Filling], int, int]] = []  # choices still open, their fillings tried, bins and waste before them
 
-    def choices():
+    def choices(mine: list[Filling]) -> Iterator[tuple[Filling, int, int]]:
         lengths = sorted((k for k, n in left.items() if n), reverse=True)
         first = lengths[0]
-        left[first] -= 1
-        found = fillings(capacity - first, [x for x in lengths if left[x]], left)
-        left[first] += 1
-        return iter([((first, *items), waste) for items, waste in found[:8]])
-
-    def many_of(items: tuple[int, ...]) -> Pattern:
-        filling = tuple((x, items.count(x)) for x in dict.fromkeys(items))
-        return filling, min(left[x] // n for x, n in filling)
-
-    bins = waste = 0
-    stack.append((choices(), 0, 0))
+        others = {**left, first: left[first] - 1}
+        found: list[tuple[Filling, int, int]] = []
+        for items, waste in fillings(capacity - first, [x for x in lengths if others[x]], others, looks):
+            again = items[0][1] if items and items[0][0] == first else 0
+            filling = ((first, 1 + again), *items[again > 0 :])
+            if filling not in tried:
+                tried.add(filling)
+                mine.append(filling)
+                found.append((filling, min(left[x] // n for x, n in filling), waste))
+                yield found[-1]
+        tried.difference_update(mine)
+        for filling, most, waste in found:
+            tried.add(filling)
+            for many in range(most - 1, 0, -1):
+                yield filling, many, waste
+
+    def open_choices(bins: int, waste: int) -> None:
+        mine: list[Filling] = []
+        stack.append((choices(mine), mine, bins, waste))
+
+    open_choices(0, 0)
     while stack and fewest > bound and nodes:
-        options, bins, waste = stack[-1]
+        options, mine, bins, waste = stack[-1]
         while len(path) >= len(stack):
             filling, many = path.pop()
             for x, n in filling:
                 left[x] += n * many
         option = next(options, None)
         if option is None:
+            tried.difference_update(mine)
             stack.pop()
             continue
         nodes -= 1
-        pattern = many_of(option[0])
-        bins, waste = bins + pattern[1], waste + option[1] * pattern[1]
+        filling, many, more = option
+        bins, waste = bins + many, waste + more * many
         if math.ceil((volume + waste) / capacity) >= fewest:
             continue
-        path.append(pattern)
-        for x, n in pattern[0]:
-            left[x] -= n * pattern[1]
+        path.append((filling, many))
+        for x, n in filling:
+            left[x] -= n * many
         if any(left.values()):
-            stack.append((choices(), bins, waste))
+            open_choices(bins, waste)
         elif bins < fewest:
             best, fewest = list(path), bins
     return best
