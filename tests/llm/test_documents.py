@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -253,6 +254,19 @@ def test_quality_learns_and_is_linear(spark):
     assert model.logit(at, x) == pytest.approx(model.bias + float(model.linear[at] @ x) + pairs, abs=1e-4)
 
 
+def test_quality_trains_on_all_features(spark, monkeypatch):
+    rows = [(k, " ".join(f"word{chr(97 + k)}{chr(97 + n // 26 % 26)}{chr(97 + n % 26)}{chr(97 + n // 676)}" for n in range(1500))) for k in range(12)]
+    docs, labels = table(spark, rows), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    wanted = [quality.features(t) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
+    found, marks = quality.training_rows(docs, labels)
+    assert len(found) == len(wanted) == len(marks) and len(found[0][0]) > 1400
+    for (at, x, _), (known_at, known_x, _) in zip(found, wanted, strict=True):
+        assert at.tolist() == known_at.tolist() and x.tolist() == known_x.tolist()
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", sum(8 * len(r[0]) for r in wanted[:4]))
+    fewer, _ = quality.training_rows(docs, labels)
+    assert 3 <= len(fewer) <= 5 and all(len(r[0]) > 1400 for r in fewer)
+
+
 def brute_spans(text):
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):

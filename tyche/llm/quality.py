@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import Kept
+from .shared import kept
 from .token_counts import balanced
 
-#: Labelled rows that may train the model (those with the smallest hashes of their id), and the features of each.
-SAMPLE_ROWS, SAMPLE_FEATURES = 6000, 400
+#: Labelled rows that may train the model (those with the smallest hashes of their id), and the bytes of all their features.
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 64 << 20
 #: Hashed features, the rank of the interactions, and the bins of a statistic.
 BUCKETS, RANK, BINS = 1 << 16, 8, 12
 STATISTICS = 12
@@ -128,7 +129,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.nda
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray]:
-    """Features and labels of a bounded sample of labelled rows whose crc32 of the id is not 0 modulo 5."""
+    """Features and labels of a bounded sample of labelled rows whose crc32 of the id is not 0 modulo 5.
+
+    Each row has all its features, as for its score; rows whose features exceed ``SAMPLE_BYTES`` together are fewer.
+    """
     usable = labels.filter("doc_id is not null and quality is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
@@ -136,11 +140,18 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in balanced(batches, 1):
             rows = [features(t) for t in batch.column(1).to_pylist()]
-            largest = [np.sort(np.argsort(-x, kind="stable")[:SAMPLE_FEATURES]) for _, x, _ in rows]
-            packed = [[r[0][k].astype("<i4").tobytes() for r, k in zip(rows, largest, strict=True)], [r[1][k].astype("<f4").tobytes() for r, k in zip(rows, largest, strict=True)], [np.array(r[2], "<f4").tobytes() for r in rows]]
+            packed = [[r[0].astype("<i4").tobytes() for r in rows], [r[1].tobytes() for r in rows], [np.array(r[2], "<f4").tobytes() for r in rows]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(p, pa.binary()) for p in packed)], ["doc_id", "quality", "at", "x", "stats"])
 
-    found = texts.mapInArrow(run, f"doc_id long, quality {dict(labels.dtypes)['quality']}, at binary, x binary, stats binary").limit(2 * SAMPLE_ROWS).collect()
+    found = texts.mapInArrow(run, f"doc_id long, quality {dict(labels.dtypes)['quality']}, at binary, x binary, stats binary").limit(2 * SAMPLE_ROWS)
+    sample = kept(found, "training")
+    order, total = F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id"), 0
+    for r in sample.groupBy(order.alias("place")).agg(F.sum(F.length("at") + F.length("x")).alias("size")).orderBy("place").collect():
+        total += r.size
+        if total > SAMPLE_BYTES:
+            sample = sample.filter(order < F.struct(F.lit(r.place.hash).alias("hash"), F.lit(r.place.doc_id).alias("doc_id")))
+            break
+    found = sample.collect()
     found.sort(key=lambda r: (r.doc_id, bytes(r.at)))
     rows = [(np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4"), np.frombuffer(r.stats, "<f4").tolist()) for r in found]
     return rows, np.array([int(r.quality) for r in found])
