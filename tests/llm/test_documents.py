@@ -313,3 +313,41 @@ def test_the_network_tells_secrets_from_words():
     hit = net.scores(shown[600:]) >= net.threshold
     assert hit[np.array(labels[600:]) == 1].mean() >= 0.97 and hit[np.array(labels[600:]) == 0].mean() <= 0.03
     assert secrets.train([], np.array([], int)).threshold > 1
+
+
+def test_the_threshold_keeps_the_recall():
+    rng = random.Random(12)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    shown, labels = [], []
+    for k in range(1500):
+        token = draw("0123456789XYZ", 30) if k % 3 == 0 and k % 15 else draw("abcdefghijklmnopqrstu", 20)
+        shown.append(secrets.window(f"{draw('abc ', 15)} {token} {draw('abc ', 15)}", 16, 16 + len(token)))
+        labels.append(int(k % 3 == 0))
+    net = secrets.train(shown, np.array(labels))
+    assert (net.scores(shown) >= net.threshold)[np.array(labels) == 1].mean() >= 0.97
+
+
+def test_long_candidates_are_read_to_their_end(spark, monkeypatch):
+    class Digits:
+        threshold = 0.5
+
+        def scores(self, windows):
+            return np.array([sum(x == 128 + 6 for x in w) / 20 for w in windows])
+
+    monkeypatch.setattr(secrets, "train", lambda *_: Digits())
+    path, key = "some/long/path/of/words/" * 4, "x1Y2" * 15
+    part = "Q7" * 12 + "-0123456789abcdef-" + "Z8" * 12
+    rows = [(1, f"see {path}{key}{path} there"), (2, f"see {part}."), (3, f"see {path} there"), (4, "see 0123456789abcdef0123456789abcdef."), (5, "token=x1Y2x1Y2x1Y2x1Y2x1Y2x1Y2 ")]
+    found = {r.doc_id: r.spans for r in secrets.scan(table(spark, rows)).collect()}
+    assert found[1] == f"net:4:{4 + 2 * len(path) + len(key)}" and found[3] == ""
+    assert found[2] == f"net:4:{5 + len(part)},hex:29:45"
+    assert found[4] == "hex:4:36" and found[5] == "assign:0:30"
+    text = f"{path}{key}"
+    last = secrets.window_starts(0, len(text))[-1]
+    assert last == len(text) - secrets.INSIDE and secrets.window(text + "; b", last, len(text))[-secrets.AFTER :][:1] == bytes([secrets.CLASS_OF[ord(";")]])
+
+
+def test_windows_show_every_character():
+    for n in range(16, 200):
+        starts = secrets.window_starts(7, 7 + n)
+        assert {x for s in starts for x in range(s, min(s + secrets.INSIDE, 7 + n))} == set(range(7, 7 + n)) and len(starts) == len(set(starts))
