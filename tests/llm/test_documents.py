@@ -223,6 +223,33 @@ def test_decontamination_beyond_the_broadcast(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(table(spark, docs), bench).collect()} == brute_leaks(docs, items)
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_short_items_are_found_with_changes(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
+    rng = random.Random(13)
+    words = vocabulary(rng, 300)
+    items = [(n, [f"{w}{n}" for w in rng.sample(words, n)]) for n in (1, 2, 4, 5, 6, 7, 8, 11, 12, 13, 15)]
+    docs, wanted = [], set()
+    for n, item in items:
+        for changes in range(4):
+            for where in (0, 1):
+                part = list(item)
+                at = rng.sample(range(n), min(changes, n))
+                for k in at:
+                    part[k] = "changed"
+                docs.append((len(docs), " ".join([*rng.choices(words, k=5 * where), *part, *rng.choices(words, k=7 * where)])))
+                if n < 13 and len(at) <= (1 if n >= 7 else 0):
+                    wanted.add((docs[-1][0], n))
+        docs.append((len(docs), " ".join(item[1:])))
+        if 7 <= n < 13:
+            wanted.add((docs[-1][0], n))
+        docs.append((len(docs), "x".join(item) + "x"))
+    wanted |= brute_leaks(docs, [(n, " ".join(item)) for n, item in items if n >= 13])
+    bench = spark.createDataFrame([(n, ", ".join(item)) for n, item in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(table(spark, docs), bench, every=True).collect()}
+    assert found == wanted
+
+
 def test_masks_find_every_window():
     for residue in range(decontamination.STRIDE):
         placed = [

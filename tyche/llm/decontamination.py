@@ -6,8 +6,8 @@ the documents. A hit puts document and item on a diagonal, along which the words
 ``window`` aligned words (all, of an item shorter than that) differ in at most ``subs`` of them.
 
 The three masks below together find every window of 13 words with up to two substitutions, wherever it starts
-(``tests/llm`` checks all placements). An item of 5 to 12 words is looked for whole, by the hash of its words at every
-position.
+(``tests/llm`` checks all placements). An item of fewer words is cut into one run more than it may have substitutions,
+so that one of the runs is unchanged; these are hashed at every position of the documents.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from .shared import kept
 #: The masks as (offset, number of words) of their two selected runs, and the distance of hashed document positions.
 MASKS = (((0, 3), (6, 2)), ((0, 3), (9, 2)), ((0, 3), (3, 2)))
 STRIDE, WINDOW, SUBS = 3, 13, 2
-#: Items of fewer words are not looked for.
+#: Items of fewer words are not looked for, unless all are wanted.
 SHORTEST = 5
 #: Test hashes up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -51,6 +51,27 @@ def seeds(tokens: Column, stride: int) -> Column:
     return F.concat(*map(masked, range(len(MASKS))))
 
 
+def allowed(n: int) -> int:
+    """Substitutions in an item of ``n`` words, in proportion to those of a window."""
+    return min(SUBS, n * SUBS // WINDOW)
+
+
+def runs(n: int, subs: int) -> list[tuple[int, int]]:
+    """Place and length of the runs that ``n`` words are cut into, one more than ``subs``."""
+    cuts = [n * k // (subs + 1) for k in range(subs + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def run_seed(tokens: Column, start: Column, n: int) -> Column:
+    return F.xxhash64(F.lit(-n), F.slice(tokens, start + 1, F.lit(n)))
+
+
+def run_seeds(tokens: Column, lengths: list[int]) -> Column:
+    """``array<struct<pos, seed>>`` over all runs of these lengths."""
+    starts = lambda n: F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n))
+    return F.concat(*(hashed_at(starts(n), "pos", partial(lambda n, i: run_seed(tokens, i, n), n)) for n in lengths))
+
+
 def aligned(doc: Column, item: Column, offset: Column, window: int, subs: int) -> tuple[Column, Column]:
     """Equal words in the best allowed window on a diagonal (0 if none is allowed), and on the whole diagonal.
 
@@ -62,25 +83,34 @@ def aligned(doc: Column, item: Column, offset: Column, window: int, subs: int) -
     return F.when(best >= window - subs, best).otherwise(0), total(same)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFrame:
     """``doc_id, item_id, doc_pos, window_words, matched_words`` for each pair of a document and an item it leaks.
 
     ``window_words`` counts the equal words of the best window, ``matched_words`` those along the whole diagonal, and
     ``doc_pos`` is where the item's first word would be (negative if the document starts within it); of equally good
-    diagonals the first counts. Items of 5 to 12 words must occur whole; shorter ones say too little and are never
+    diagonals the first counts. With ``every``, items of 7 to 12 words may have one word changed and shorter ones, down
+    to a single word, must occur exactly; else items of 5 to 12 words must occur whole and shorter ones are never
     found. Null and empty texts leak nothing; null ids are reported as such; repeated rows of a document or item give
     one pair; other columns are not read; an empty table on either side gives an empty result.
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("item")).distinct()
     long_items = items.filter(F.size("item") >= WINDOW)
-    tests = kept(long_items.select("item_id", F.explode(seeds(F.col("item"), 1)).alias("at")).select("item_id", F.col("at.pos").alias("item_pos"), F.col("at.seed").alias("seed")), "seeds")
+    short_items = items.filter((F.size("item") >= (1 if every else SHORTEST)) & (F.size("item") < WINDOW))
+    sizes = {r.n: allowed(r.n) if every else 0 for r in short_items.select(F.size("item").alias("n")).distinct().collect()}
+    tests = long_items.select("item_id", F.explode(seeds(F.col("item"), 1)).alias("at")).select("item_id", F.col("at.pos").alias("item_pos"), F.col("at.seed").alias("seed"))
+    for n, subs in sizes.items():
+        cut = F.array(*(F.struct(F.lit(at).alias("pos"), run_seed(F.col("item"), F.lit(at), size).alias("seed")) for at, size in runs(n, subs)))
+        tests = tests.unionByName(short_items.filter(F.size("item") == n).select("item_id", F.explode(cut).alias("at")).select("item_id", F.col("at.pos").alias("item_pos"), F.col("at.seed").alias("seed")))
+    tests = kept(tests, "seeds")
     few = tests.count() <= BROADCAST_ROWS
     texts = docs.select("doc_id", words(F.col("text")).alias("words"))
-    trained = texts.select("doc_id", "words", F.explode(seeds(F.col("words"), STRIDE)).alias("at")).select("doc_id", "words", F.col("at.pos").alias("pos"), F.col("at.seed").alias("seed"))
+    lengths = sorted({size for n, subs in sizes.items() for _, size in runs(n, subs)})
+    hashes = F.concat(seeds(F.col("words"), STRIDE), run_seeds(F.col("words"), lengths)) if lengths else seeds(F.col("words"), STRIDE)
+    trained = texts.select("doc_id", "words", F.explode(hashes).alias("at")).select("doc_id", "words", F.col("at.pos").alias("pos"), F.col("at.seed").alias("seed"))
     shift = (F.col("pos") - F.col("item_pos")).alias("doc_pos")
     if few:
         # Hashes are looked up where they are made; only hits carry on the words around them.
-        longest = long_items.agg(F.max(F.size("item"))).first()[0] or WINDOW
+        longest = items.agg(F.max(F.size("item"))).first()[0] or WINDOW
         start = F.greatest(F.lit(0), shift)
         hits = trained.join(F.broadcast(tests), "seed").select("doc_id", "item_id", shift, (shift - start).alias("offset"), F.slice("words", start + 1, F.lit(longest)).alias("words"))
         hits = hits.dropDuplicates(["doc_id", "item_id", "doc_pos", "words"])
@@ -88,18 +118,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = trained.drop("words").join(tests, "seed").select(F.col("doc_id").alias("hit_id"), "item_id", shift).distinct()
         hits = found.join(texts, found.hit_id.eqNullSafe(texts.doc_id)).withColumn("offset", F.col("doc_pos"))
     best, total = aligned(F.col("words"), F.col("item"), F.col("offset"), WINDOW, SUBS)
-    texts_of = long_items.withColumnRenamed("item_id", "known_id")
-    compared = hits.join(texts_of, hits.item_id.eqNullSafe(texts_of.known_id))
+    least = F.lit(WINDOW)
+    for n, subs in sizes.items():
+        least = F.when(F.size("item") == n, n - subs).otherwise(least)
+    best = F.when(F.size("item") >= WINDOW, best).when(total >= least, total).otherwise(0)
+    looked_for = long_items.unionByName(short_items).withColumnRenamed("item_id", "known_id")
+    compared = hits.join(looked_for, hits.item_id.eqNullSafe(looked_for.known_id))
     leaks = compared.select("doc_id", "item_id", "doc_pos", best.alias("window_words"), total.alias("matched_words"))
-
-    wholes = items.filter((F.size("item") >= SHORTEST) & (F.size("item") < WINDOW)).select("item_id", F.size("item").alias("n"), F.xxhash64("item").alias("seed"))
-    sizes = sorted(r.n for r in wholes.select("n").distinct().collect())
-    if sizes:
-        starts = lambda n: F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))
-        runs = [hashed_at(starts(n), "doc_pos", partial(lambda n, i: F.xxhash64(F.slice("words", i + 1, F.lit(n))), n)) for n in sizes]
-        looked_up = F.broadcast(wholes) if wholes.count() <= BROADCAST_ROWS else wholes
-        exact = texts.select("doc_id", F.explode(F.concat(*runs)).alias("at")).select("doc_id", "at.*").join(looked_up, "seed")
-        leaks = leaks.unionByName(exact.select("doc_id", "item_id", "doc_pos", F.col("n").alias("window_words"), F.col("n").alias("matched_words")))
     ranked = F.struct("window_words", "matched_words", (-F.col("doc_pos")).alias("first"))
     top = leaks.filter("window_words > 0").groupBy("doc_id", "item_id").agg(F.max(ranked).alias("best"))
     return top.select("doc_id", "item_id", (-F.col("best.first")).alias("doc_pos"), "best.window_words", "best.matched_words")
