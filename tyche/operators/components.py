@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..storage import kept
+from ..storage import kept, removed, written
 
 
 def components(edges: DataFrame, keys: list[str] | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """``*keys, vertex, comp`` for every vertex that has an edge; ``comp`` is the smallest vertex of its component.
 
     Each combination of ``keys`` (a possible world, say) is a graph of its own; all of them advance together. A round
-    takes the smallest label among the neighbours and then follows labels twice as far (pointer jumping). The state
-    is written to the shared folder, so a plan never grows over the rounds. Rounds end when no label changes.
+    takes the smallest label among the neighbours, passes it on to the vertex that the old label names, and follows
+    labels twice as far (pointer jumping). Each round writes its labels to the shared folder and drops those before,
+    so neither a plan nor the folder grows over the rounds. Rounds end when no label changes.
     """
-    keys = keys or []
+    keys, spark = keys or [], edges.sparkSession
     both = edges.select(*keys, F.col(src).alias("vertex"), F.col(dst).alias("other"))
     both = kept(both.unionByName(edges.select(*keys, F.col(dst).alias("vertex"), F.col(src).alias("other"))).distinct(), "edges")
     on = [*keys, "vertex"]
-    labels = kept(both.groupBy(*on).agg(F.least(F.min("other"), F.first("vertex")).alias("comp")), "labels")
+    first = both.groupBy(*on).agg(F.least(F.min("other"), F.first("vertex")).alias("comp"))
+    schema, path = first.schema, written(first, "labels")
     while True:
+        labels = spark.read.schema(schema).parquet(path)
         other = labels.select(*keys, F.col("vertex").alias("other"), F.col("comp").alias("near"))
         nearest = both.join(other, [*keys, "other"]).groupBy(*on).agg(F.min("near").alias("near"))
-        lowered = labels.join(nearest, on).select(*on, F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        lowered = kept(lowered, "labels")
-        root = lowered.select(*keys, F.col("vertex").alias("comp"), F.col("comp").alias("root"))
-        jumped = kept(lowered.join(root, [*keys, "comp"]).select(*on, F.col("root").alias("comp"), (F.col("root") != F.col("old")).alias("changed")), "labels")
-        labels = jumped.select(*on, "comp")
-        if jumped.filter("changed").isEmpty():
-            return labels
+        lowered = labels.join(nearest, on).select(*on, F.least("comp", "near").alias("low"), "comp")
+        passed = lowered.select(*on, "low", F.col("comp").alias("old")).unionByName(lowered.select(*keys, F.col("comp").alias("vertex"), "low", F.lit(None).alias("old")))
+        hooked = passed.groupBy(*on).agg(F.min("low").alias("low"), F.max("old").alias("old"))
+        root = hooked.select(*keys, F.col("vertex").alias("low"), F.col("low").alias("comp"))
+        jumped = hooked.join(root, [*keys, "low"]).select(*on, "comp", "old")
+        rows = Observation()
+        following = written(jumped.observe(rows, F.count_if(F.col("comp") != F.col("old")).alias("changed")).drop("old"), "labels")
+        removed(spark, path)
+        path = following
+        if not rows.get["changed"]:
+            return spark.read.schema(schema).parquet(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.clusters import read_clusters
+
 
 def same_cluster_pairs(clusters: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Distinct ``*keys, a, b`` with ``a < b`` that share a cluster of ``clusters(*keys, cluster_id, member)``."""
@@ -12,26 +14,66 @@ def same_cluster_pairs(clusters: DataFrame, keys: tuple[str, ...] = ()) -> DataF
     return left.join(right, [*keys, "cluster_id"]).filter("a < b").select(*keys, "a", "b").distinct()
 
 
+def made_pairs(sizes: DataFrame, *keys: str) -> DataFrame:
+    """The pairs that groups of ``size`` members make, by ``keys``."""
+    return sizes.groupBy(*keys).agg(F.coalesce(F.sum(F.col("size") * (F.col("size") - 1) / 2), F.lit(0)).cast("long").alias("made"))
+
+
+def overlapping(clusters: DataFrame, keys: tuple[str, ...] = ()) -> bool:
+    """Whether a member is in more than one cluster."""
+    return not clusters.groupBy(*keys, "member").agg(F.count_distinct("cluster_id").alias("n")).filter("n > 1").isEmpty()
+
+
 def confusion_matrix(actual: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``*keys, tp, fp, fn, tn, tpr, fpr, fnr, tnr`` of each clustering in ``actual`` against one ``truth``.
 
-    Only pairs of names that the truth knows count; its names include those of single-member clusters.
+    Only pairs of names that the truth knows count; its names include those of single-member clusters. Pairs are
+    counted by the sizes of clusters and of what they share; only where clusters overlap are they listed.
     """
     names = truth.select("member").distinct()
-    wanted = same_cluster_pairs(truth)
-    found = same_cluster_pairs(actual.join(names, "member", "left_semi"), keys)
-    judged = found.join(wanted.withColumn("hit", F.lit(True)), ["a", "b"], "left")
-    counts = judged.groupBy(*keys).agg(F.count("hit").alias("tp"), (F.count("*") - F.count("hit")).alias("fp"))
+    own = actual.join(names, "member", "left_semi").select(*keys, "cluster_id", "member").distinct()
+    if overlapping(own, keys) or overlapping(truth):
+        wanted = same_cluster_pairs(truth)
+        judged = same_cluster_pairs(own, keys).join(wanted.withColumn("hit", F.lit(True)), ["a", "b"], "left")
+        counts = judged.groupBy(*keys).agg(F.count("hit").alias("tp"), F.count("*").alias("found"))
+        pairs = wanted.agg(F.count("*").alias("pairs"))
+    else:
+        truly = truth.select(F.col("cluster_id").alias("true_id"), "member").distinct()
+        shared = own.join(truly, "member").groupBy(*keys, "cluster_id", "true_id").agg(F.count("*").alias("size"))
+        sizes = own.groupBy(*keys, "cluster_id").agg(F.count("*").alias("size"))
+        hits, found = made_pairs(shared, *keys).withColumnRenamed("made", "tp"), made_pairs(sizes, *keys).withColumnRenamed("made", "found")
+        counts = hits.join(found, list(keys)) if keys else hits.crossJoin(found)  # one row each
+        pairs = made_pairs(truly.groupBy("true_id").agg(F.count("*").alias("size"))).withColumnRenamed("made", "pairs")
+    counts = counts.withColumn("fp", F.col("found") - F.col("tp")).drop("found")
     if keys:
         every = actual.select(*keys).distinct()
         counts = every.join(counts, list(keys), "left").select(*keys, F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp"))
-    totals = wanted.agg(F.count("*").alias("pairs")).crossJoin(names.agg(F.count("*").alias("n")))  # one row each
+    totals = pairs.crossJoin(names.agg(F.count("*").alias("n")))  # one row each
     full = counts.crossJoin(totals).withColumn("fn", F.col("pairs") - F.col("tp"))
     full = full.withColumn("tn", (F.col("n") * (F.col("n") - 1) / 2).cast("long") - F.col("pairs") - F.col("fp"))
     share = lambda a, b: F.try_divide(F.col(a), F.col(a) + F.col(b)).alias(f"{a}r")
     return full.select(*keys, "tp", "fp", "fn", "tn", share("tp", "fn"), share("fp", "tn"), share("fn", "tp"), share("tn", "fp"))
 
 
+def confusion_matrix_of_files(spark: SparkSession, actual: str, truth: str) -> DataFrame:
+    """The confusion matrix of a clustering's file against that of a ground truth."""
+    return confusion_matrix(read_clusters(spark, actual), read_clusters(spark, truth))
+
+
+def write_confusion(matrix: DataFrame, path: str) -> None:
+    """One JSON object per row."""
+    matrix.coalesce(1).write.json(path)
+
+
+def pair_counts(clusters: DataFrame) -> DataFrame:
+    """``distinct_pairs, summed_pairs``: pairs that share a cluster, each once, and the sum of what the clusters make."""
+    sizes = clusters.groupBy("cluster_id").agg(F.count_distinct("member").alias("size"))
+    summed = made_pairs(sizes).withColumnRenamed("made", "summed_pairs")
+    if not overlapping(clusters):
+        return summed.select(F.col("summed_pairs").alias("distinct_pairs"), "summed_pairs")
+    return same_cluster_pairs(clusters).agg(F.count("*").alias("distinct_pairs")).crossJoin(summed)  # one row each
+
+
 def cluster_members(clustering: DataFrame) -> DataFrame:
     return clustering.groupBy("center").agg(F.count("*").alias("size"), F.min("vertex").alias("first_vertex"), F.max("vertex").alias("last_vertex"))
 

@@ -38,30 +38,23 @@ def first_independent_set(ordered: DataFrame, covers: DataFrame) -> DataFrame:
             return centers.join(state.select("vertex", "prio"), "vertex")
 
 
-def ranked(centers: DataFrame, most: int) -> DataFrame:
-    """``center, center_rank`` (from 1) of the first ``most`` centers by priority."""
-    first = centers.orderBy("prio", "vertex").limit(most)
-    return first.select(F.col("vertex").alias("center"), F.row_number().over(Window.orderBy("prio", "vertex")).alias("center_rank"))
-
-
 def best_covers(candidates: DataFrame) -> DataFrame:
     """Of ``vertex, center, center_rank, probability`` the best center of each vertex; ties go to the earlier center."""
     best = candidates.groupBy("vertex").agg(F.max(F.struct("probability", (-F.col("center_rank")).alias("early"), "center")).alias("best"))
     return best.select("vertex", "best.center", (F.col("vertex") == F.col("best.center")).alias("is_center"), "best.probability")
 
 
-def cover(vertices: DataFrame, centers: DataFrame, pairs: DataFrame, p: float, allowed: int) -> tuple[DataFrame, int]:
-    """A clustering by ranked ``centers`` at threshold ``p``, and how many vertices it leaves uncovered.
+def cover(vertices: DataFrame, candidates: DataFrame, allowed: int) -> tuple[DataFrame, int]:
+    """A clustering by ranked centers, and how many vertices it leaves uncovered.
 
-    ``pairs`` is symmetric ``a, b, probability``. After the first center c with ``c + uncovered <= allowed`` the
-    uncovered vertices become clusters of their own. Columns ``vertex, center, is_center, probability``, null if uncovered.
+    ``candidates`` is ``vertex, center, center_rank, probability``: whom each center covers, itself included. After
+    the first center c with ``c + uncovered <= allowed`` the uncovered vertices become clusters of their own. Columns
+    ``vertex, center, is_center, probability``, null if uncovered.
     """
-    own = centers.select(F.col("center").alias("vertex"), "center", "center_rank", F.lit(1.0).alias("probability"))
-    near = pairs.filter(F.col("probability") >= p).join(centers, pairs.a == centers.center).select(F.col("b").alias("vertex"), "center", "center_rank", "probability")
-    candidates = kept(own.unionByName(near), "candidates")
     n = vertices.count()
     firsts = candidates.groupBy("vertex").agg(F.min("center_rank").alias("rank")).groupBy("rank").agg(F.count("*").alias("n"))
     running = Window.orderBy("center_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    centers = candidates.filter("vertex = center").select("center_rank")  # one row for each center, fewer than k
     progress = centers.join(firsts, centers.center_rank == firsts["rank"], "left").select("center_rank", (n - F.sum(F.coalesce("n", F.lit(0))).over(running)).alias("uncovered"))
     done = progress.filter(F.col("center_rank") + F.col("uncovered") <= allowed).agg(F.min("center_rank")).first()[0]
     used = candidates if done is None else candidates.filter(F.col("center_rank") <= done)

@@ -19,11 +19,20 @@ def from_source(comps: DataFrame, source: int, r: int, targets: DataFrame | None
     return met.groupBy("vertex").agg((F.count("met") / F.lit(r)).alias("probability"))
 
 
+def hits_since(comps: DataFrame, sources: DataFrame, stop: int, few: bool = False) -> DataFrame:
+    """``source, vertex, hits`` in worlds ``first .. stop - 1`` of each of ``sources(source, first)``.
+
+    ``few`` sources times worlds are broadcast; then the components, whatever their sizes, are not shuffled before
+    they are counted.
+    """
+    chosen = F.broadcast(sources) if few else sources
+    own = comps.filter(F.col("world") < stop).join(chosen, comps.vertex == sources.source).filter("world >= first").select("world", "comp", "source")
+    return comps.join(F.broadcast(own) if few else own, ["world", "comp"]).groupBy("source", "vertex").agg(F.count("*").alias("hits"))
+
+
 def source_hits(comps: DataFrame, sources: DataFrame, first: int, stop: int) -> DataFrame:
-    """``source, vertex, hits`` in worlds ``first .. stop - 1`` for several sources in one pass."""
-    part = comps.filter((F.col("world") >= first) & (F.col("world") < stop))
-    own = part.join(sources.select("vertex"), "vertex", "left_semi").select("world", "comp", F.col("vertex").alias("source"))
-    return part.join(own, ["world", "comp"]).groupBy("source", "vertex").agg(F.count("*").alias("hits"))
+    """``source, vertex, hits`` in worlds ``first .. stop - 1`` for several ``sources(vertex)`` in one pass."""
+    return hits_since(comps, sources.select(F.col("vertex").alias("source"), F.lit(first).alias("first")), stop)
 
 
 def added_hits(before: DataFrame, more: DataFrame) -> DataFrame:
@@ -41,8 +50,13 @@ def pair_probabilities(comps: DataFrame, r: int, least: float = 0.0) -> DataFram
     return met.filter(F.col("probability") >= least)
 
 
-def set_reliability(comps: DataFrame, sets: DataFrame, r: int) -> DataFrame:
-    """``set_id, size, reliability``: the share of worlds in which all of ``sets(set_id, vertex)`` are connected."""
+def set_reliability(comps: DataFrame, sets: DataFrame, r: int, depth: int | None = None) -> DataFrame:
+    """``set_id, size, reliability``: the share of worlds in which all of ``sets(set_id, vertex)`` are connected.
+
+    It is not defined for paths of at most ``depth`` edges; asking for that is an error.
+    """
+    if depth is not None:
+        raise NotImplementedError("the reliability of a set is not defined for paths of bounded length")
     worlds = comps.join(sets, "vertex").groupBy("set_id", "world").agg((F.min("comp") == F.max("comp")).alias("whole"), F.count("*").alias("size"))
     return worlds.groupBy("set_id").agg(F.max("size").alias("size"), (F.count_if("whole") / F.lit(r)).alias("reliability"))
 
@@ -54,20 +68,29 @@ def average_connection_probability(comps: DataFrame, n: int, r: int) -> DataFram
     return sizes.agg((F.sum(F.col("size") * F.col("size")) / F.lit(r) / pairs).alias("avg_conn_prob"), (F.sum(F.col("size") * (F.col("size") - 1)) / F.lit(r) / pairs).alias("avg_pair_prob"))
 
 
-def within_depth(alive: DataFrame, vertices: DataFrame, sources: DataFrame, depth: int, r: int) -> DataFrame:
-    """``source, vertex, probability`` of a path of at most ``depth`` edges; ``alive`` is ``world, src, dst``.
+def depth_hits(alive: DataFrame, sources: DataFrame, depth: int, stop: int) -> DataFrame:
+    """``source, vertex, hits``: worlds ``first .. stop - 1`` of each of ``sources(source, first)`` with a path of at most ``depth`` edges.
 
-    One step of breadth-first search over all worlds and sources at a time; zeros are included.
+    ``alive`` is ``world, src, dst``. One step of breadth-first search over all worlds and sources at a time.
     """
     arcs = kept(alive.select("world", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(alive.select("world", F.col("dst").alias("a"), F.col("src").alias("b"))), "arcs")
-    worlds = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r - 1).cast("long")))
-    frontier = seen = kept(sources.select(F.col("vertex").alias("source"), "vertex", worlds.alias("world")), "seen")
+    worlds = F.explode(F.sequence(F.col("first").cast("long"), F.lit(stop - 1).cast("long")))
+    frontier = seen = kept(sources.filter(F.col("first") < stop).select("source", F.col("source").alias("vertex"), worlds.alias("world")), "seen")
     for _ in range(depth):
         step = frontier.join(arcs, (frontier.world == arcs.world) & (frontier.vertex == arcs.a)).select("source", F.col("b").alias("vertex"), frontier.world)
         frontier = kept(step.distinct().join(seen, ["source", "vertex", "world"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
-    hits = seen.groupBy("source", "vertex").agg(F.count("*").alias("hits"))
-    every = vertices.select("vertex").join(F.broadcast(sources.select(F.col("vertex").alias("source"))))
+    return seen.groupBy("source", "vertex").agg(F.count("*").alias("hits"))
+
+
+def within_depth(alive: DataFrame, vertices: DataFrame, sources: DataFrame, depth: int, r: int, targets: DataFrame | None = None) -> DataFrame:
+    """``source, vertex, probability`` of a path of at most ``depth`` edges, zeros included; only ``targets`` if given.
+
+    One row for each source and vertex: for few sources, as the caller sees to.
+    """
+    hits = depth_hits(alive, sources.select(F.col("vertex").alias("source"), F.lit(0).alias("first")), depth, r)
+    aims = vertices.select("vertex") if targets is None else vertices.join(targets.select("vertex"), "vertex", "left_semi").select("vertex")
+    every = aims.crossJoin(sources.select(F.col("vertex").alias("source")))  # the rows of the result
     return every.join(hits, ["source", "vertex"], "left").select("source", "vertex", (F.coalesce("hits", F.lit(0)) / F.lit(r)).alias("probability"))
 
 

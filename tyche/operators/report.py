@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Prefixes of input files, and the names of algorithms and measures in reports.
+# Prefixes of input files, the names of algorithms and measures in reports, and the k shown of the large input.
 INPUTS = (("collins", "Collins"), ("krogan", "Krogan"), ("gavin", "Gavin"), ("dblp", "DBLP"))
 ALGORITHMS = {"gmm": r"\textsc{gmm}", "mcl": r"\textsc{mcl}", "k-center": r"\textsc{mcp}", "k-median": r"\textsc{acp}", "k-median-2": r"\textsc{acp}"}
+LARGE_KS = (1818, 5274, 15576)
 MEASURES = {"p_min": "$p_{min}$", "average probability": "$p_{avg}$", "inner-avpr": "inner-AVPR", "outer-avpr": "outer-AVPR", "time": "time (ms)"}
 
 
@@ -54,7 +55,7 @@ def union_by_name(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def wanted_rows(df: DataFrame, large: str = "DBLP", large_k: tuple[int, ...] = (1818, 5274, 15576), least_k: int = 3) -> DataFrame:
+def wanted_rows(df: DataFrame, large: str = "DBLP", large_k: tuple[int, ...] = LARGE_KS, least_k: int = 3) -> DataFrame:
     """Rows with ``k`` over ``least_k``, and of the large input only some ``k``."""
     return df.filter((F.col("k") > least_k) & ((F.col("input") != large) | F.col("k").isin(*large_k)))
 

@@ -6,6 +6,7 @@ so a probability is a count over ``(world, comp)`` groups.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,11 @@ from ..functions.chance import fast_uniform, sample_count, uniform
 from ..sources.edges import vertices_of
 from ..storage import kept
 from .components import components
+from .reliability import added_hits, depth_hits, hits_since
+
+log = logging.getLogger(__name__)
+#: Sources times worlds up to this number (24 bytes each) are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def world_edges(edges: DataFrame, first: int, stop: int, seed: int = 42, fast: bool = False) -> DataFrame:
@@ -26,16 +32,30 @@ def world_edges(edges: DataFrame, first: int, stop: int, seed: int = 42, fast: b
     return each.filter(coin <= F.col("probability")).select("world", "src", "dst")
 
 
-def world_components(edges: DataFrame, vertices: DataFrame, first: int, stop: int, seed: int = 42, fast: bool = False) -> DataFrame:
-    """``world, vertex, comp`` for every vertex of every world."""
-    alive = kept(world_edges(edges, first, stop, seed, fast), "world-edges")
+def components_of(alive: DataFrame, vertices: DataFrame, first: int, stop: int) -> DataFrame:
+    """``world, vertex, comp`` for every vertex of worlds ``first`` to ``stop - 1``, whose edges are ``alive``."""
     every = vertices.select("vertex", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(stop - 1).cast("long"))).alias("world"))
     return every.join(components(alive, ["world"]), ["world", "vertex"], "left").select("world", "vertex", F.coalesce("comp", "vertex").alias("comp"))
 
 
+def world_components(edges: DataFrame, vertices: DataFrame, first: int, stop: int, seed: int = 42, fast: bool = False) -> DataFrame:
+    """``world, vertex, comp`` for every vertex of every world."""
+    return components_of(kept(world_edges(edges, first, stop, seed, fast), "world-edges"), vertices, first, stop)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 @dataclass
 class Worlds:
-    """A growing sample of the worlds of one graph; ``max_worlds`` caps it, and ``capped`` tells whether it did."""
+    """A growing sample of the worlds of one graph; ``max_worlds`` caps it, and ``capped`` tells whether it did.
+
+    Edges, components and the connections of chosen sources are kept, and further worlds are added to each.
+    """
 
     edges: DataFrame
     vertices: DataFrame | None = None
@@ -47,7 +67,9 @@ class Worlds:
     fast: bool = False
     count: int = 0
     capped: bool = False
-    _parts: list[DataFrame] = field(default_factory=list)
+    _alive: list[tuple[int, int, DataFrame]] = field(default_factory=list)
+    _components: list[DataFrame] = field(default_factory=list)
+    _hits: dict[int | None, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.vertices = kept((self.vertices if self.vertices is not None else vertices_of(self.edges)).select("vertex"), "vertices")
@@ -55,13 +77,15 @@ class Worlds:
 
     def wanted(self, p: float) -> int:
         want = sample_count(p, self.epsilon, self.delta, self.fraction)
-        self.capped |= want > self.max_worlds
+        if want > self.max_worlds and not self.capped:
+            log.warning("probability %s asks for %s worlds, but max_worlds allows %s", p, want, self.max_worlds)
+            self.capped = True
         return max(1, min(want, self.max_worlds))
 
     def grow(self, count: int) -> None:
         """Samples further worlds up to ``count``; those there stay as they are."""
         if count > self.count:
-            self._parts.append(kept(world_components(self.edges, self.vertices, self.count, count, self.seed, self.fast), "components"))
+            self._alive.append((self.count, count, kept(world_edges(self.edges, self.count, count, self.seed, self.fast), "world-edges")))
             self.count = count
 
     def reach(self, p: float) -> int:
@@ -69,9 +93,35 @@ class Worlds:
         self.grow(self.wanted(p))
         return self.count
 
+    def alive(self, count: int | None = None) -> DataFrame:
+        """The edges of the first ``count`` worlds (all by default)."""
+        whole = union([part for _, _, part in self._alive])
+        return whole if count is None or count >= self.count else whole.filter(F.col("world") < count)
+
     def components(self, count: int | None = None) -> DataFrame:
         """The components of the first ``count`` worlds (all by default)."""
-        whole = self._parts[0]
-        for part in self._parts[1:]:
-            whole = whole.unionByName(part)
+        for first, stop, part in self._alive[len(self._components) :]:
+            self._components.append(kept(components_of(part, self.vertices, first, stop), "components"))
+        whole = union(self._components)
         return whole if count is None or count >= self.count else whole.filter(F.col("world") < count)
+
+    def hits(self, sources: DataFrame, depth: int | None = None) -> DataFrame:
+        """``source, vertex, hits``: in how many of the worlds each of ``sources(vertex)`` is connected with a vertex.
+
+        With ``depth`` only paths of so many edges count. A source asked for again is looked up in later worlds alone.
+        """
+        spark, asked = self.vertices.sparkSession, sources.select(F.col("vertex").alias("source"))
+        known = self._hits.get(depth)
+        if known is None:
+            known = spark.createDataFrame([], "source long, vertex long, hits long, upto int")
+        before = known.select("source", "upto").distinct()
+        asked = kept(asked.join(before, "source", "left").select("source", F.coalesce("upto", F.lit(0)).alias("first")), "sources")
+        few = asked.count() * self.count <= BROADCAST_ROWS
+        if depth is None:
+            new = hits_since(self.components(), asked, self.count, few)
+        else:
+            new = depth_hits(self.alive(), asked, depth, self.count)
+        mine = known.join(asked, "source", "left_semi").select("source", "vertex", "hits")
+        found = added_hits(mine, new).withColumn("upto", F.lit(self.count))
+        self._hits[depth] = kept(known.join(asked, "source", "left_anti").unionByName(found), "hits")
+        return self._hits[depth].join(asked, "source", "left_semi").select("source", "vertex", "hits")

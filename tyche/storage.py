@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a folder of this machine is chosen, and kept for the session.
+    Where the setting is absent a local master gets a folder of this machine, kept for the session; elsewhere that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tyche.shared.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("tyche.shared.dir", folder)
     return folder.rstrip("/")
@@ -25,9 +28,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> str:
+    """The path in the shared folder that ``df`` is written to."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later plans start at the files, whatever executors are lost."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that :func:`written` made and nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
