@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tyche import storage
 from tyche.functions import chance
 from tyche.operators import clustering, evaluate, graph, greedy, guess, reliability, report, scores
 from tyche.operators.components import components
@@ -108,6 +109,47 @@ def test_greedy_is_the_sequential_choice(spark):
         assert {r.vertex for r in greedy.first_independent_set(ordered, covers).collect()} == expected
 
 
+def test_blocks_make_the_same_choice(spark):
+    rng = random.Random(8)
+    for most in (2, 30):
+        order, near = rng.sample(range(40), 40), {(a, b) for a, b in itertools.product(range(40), repeat=2) if a == b or rng.random() < 0.05}
+        near |= {(b, a) for a, b in near}
+        expected: list = []
+        for v in order:
+            if len(expected) < most and not any((c, v) in near for c in expected):
+                expected.append(v)
+        chosen: list = []
+        rest = list(order)
+        while rest and len(chosen) < most:  # as the clusterings do, five at a time
+            new = clustering.first_uncovered(rest[:5], near, most - len(chosen))
+            chosen += new
+            rest = [v for v in rest if not any((c, v) in near for c in new)]
+        assert chosen == expected
+
+
+def test_hits_are_kept_and_added_to(spark, two_cliques):
+    w = Worlds(two_cliques)
+    some, more = (spark.createDataFrame([(v,) for v in vs], "vertex long") for vs in ([0, 5], [5, 7]))
+    rows = lambda df: {(r.source, r.vertex): r.hits for r in df.collect()}
+    w.grow(20)
+    w.hits(some), w.hits(some, depth=2)
+    w.grow(50)
+    assert rows(w.hits(more)) == rows(reliability.source_hits(w.components(), more, 0, 50))
+    limited = {(r.source, r.vertex): r.probability for r in reliability.within_depth(w.alive(), w.vertices, more, 2, 50).collect()}
+    assert {k: n / 50 for k, n in rows(w.hits(more, depth=2)).items()} == {k: p for k, p in limited.items() if p}
+    targets = spark.createDataFrame([(6,), (8,)], "vertex long")
+    assert {(r.source, r.vertex): r.probability for r in reliability.within_depth(w.alive(), w.vertices, more, 2, 50, targets).collect()} == {k: p for k, p in limited.items() if k[1] in (6, 8)}
+    with pytest.raises(NotImplementedError, match="bounded"):
+        reliability.set_reliability(w.components(), targets.withColumn("set_id", F.lit(1)), 50, depth=2)
+    assert reliability.qualifying(reliability.from_source(w.components(), 0, 50), 0.9) >= 1
+
+
+def test_too_few_worlds_are_noticed(spark, two_cliques, caplog):
+    w = Worlds(two_cliques, max_worlds=60)
+    assert w.reach(0.9) == 51 and not w.capped and w.reach(0.01) == 60 and w.capped
+    assert "max_worlds" in caplog.text
+
+
 def clusters_ok(table, n):
     rows = table.collect()
     assert len(rows) == n and all(r.center is not None and 0 <= r.probability <= 1 for r in rows)
@@ -128,6 +170,8 @@ def test_mcp_acp_gmm(spark, two_cliques):
     assert len(clusters_ok(clustering.acp(Worlds(two_cliques), k=3).table, 10)) <= 3
     assert len(clusters_ok(clustering.acp(Worlds(two_cliques), k=3, batch=4).table, 10)) <= 3
     assert len(clusters_ok(clustering.mcp(Worlds(two_cliques), k=3, depth=2).table, 10)) <= 3
+    assert len(clusters_ok(clustering.acp(Worlds(two_cliques), k=3, batch=4, depth=2).table, 10)) <= 3
+    assert found.time > 0 and found.performance().first().time == found.time and found.guesses().count() == len(found.steps)
     assert len(clusters_ok(clustering.gmm(Worlds(two_cliques), k=2).table, 10)) == 2
     assert len(clusters_ok(clustering.gmm(Worlds(two_cliques), k=2, compat_truncate=True).table, 10)) == 2
 
@@ -174,6 +218,14 @@ def test_edge_list(spark, tmp_path):
     (tmp_path / "g.txt").write_text("# graph\n\nb a 0.1\na\tb 0.9\na c\nc  c 0.25\n")
     g = es.read_edge_list(spark, str(tmp_path / "g.txt"))
     assert as_map(g.vertices, "label", "vertex") == {"b": 0, "a": 1, "c": 2}
+    assert es.vertex_of(g, "c") == 2
+    with pytest.raises(KeyError):
+        es.vertex_of(g, "d")
+    (tmp_path / "several").mkdir()
+    (tmp_path / "several" / "1.txt").write_text("a b 0.25\n")
+    (tmp_path / "several" / "2.txt").write_text("b a 0.5\n" + "c d 0.5\n" * 2000)  # read first, as it is larger
+    assert [(r.line_no, r.value) for r in es.read_lines(spark, str(tmp_path / "several")).orderBy("line_no").limit(3).collect()] == [(0, "a b 0.25"), (1, "b a 0.5"), (2, "c d 0.5")]
+    assert [r.probability for r in es.read_edge_list(spark, str(tmp_path / "several")).edges.orderBy("edge_id").collect()] == [0.25, 0.5]
     rows = {(r.edge_id, r.src, r.dst, r.probability) for r in g.edges.collect()}
     assert rows == {(0, 0, 1, 0.10000000149011612), (1, 1, 2, 1.0), (2, 2, 2, 0.25)}
     es.write_edge_list(g, str(tmp_path / "out"))
@@ -202,6 +254,15 @@ def test_cluster_files_and_confusion(spark, tmp_path):
     pairs = cs.read_clusters(spark, str(tmp_path / "pairs.txt"))
     row = evaluate.confusion_matrix(pairs, truth).first()
     assert (row.tp, row.fp, row.fn, row.tn) == (2, 0, 7, 27)
+    (tmp_path / "apart.txt").write_text("a b d\nc e f g\n")
+    for name, wanted in (("pairs", (2, 0, 7, 27)), ("apart", (2, 7, 7, 20))):
+        matrix = evaluate.confusion_matrix_of_files(spark, str(tmp_path / f"{name}.txt"), str(tmp_path / "truth.txt"))
+        evaluate.write_confusion(matrix, str(tmp_path / f"{name}.json"))
+        row = spark.read.json(str(tmp_path / f"{name}.json")).first()
+        assert (row.tp, row.fp, row.fn, row.tn) == wanted and row.tpr == pytest.approx(2 / 9)
+    assert evaluate.pair_counts(truth).first() == (9, 9)
+    assert evaluate.pair_counts(pairs.unionByName(truth.withColumn("cluster_id", F.col("cluster_id") + 100))).first() == (9, 11)
+    assert evaluate.distinct_members(truth) == 9
     (tmp_path / "doc.json").write_text('{"tables": {"clustering": [{"label": "a", "center label": "a"}, {"label": "d", "center label": "a"}]}}')
     row = evaluate.confusion_matrix(cs.read_clusters(spark, str(tmp_path / "doc.json")), truth).first()
     assert (row.tp, row.fp) == (0, 1)
@@ -214,6 +275,9 @@ def test_other_sources(spark, tmp_path):
     (tmp_path / "ppi").write_text("ya yb 0.5\nyz yb 0.1\nbad line\n")
     known = cs.known_members(cs.read_complexes(spark, str(tmp_path / "mips")), cs.read_proteins(spark, str(tmp_path / "ppi")))
     assert {tuple(r) for r in known.collect()} == {("c1", "YA"), ("c1", "YB")}
+    assert {tuple(r) for r in cs.known_complexes(spark, str(tmp_path / "mips"), str(tmp_path / "ppi")).collect()} == {("c1", "YA"), ("c1", "YB")}
+    (tmp_path / "notes.csv").write_text('ORF,x,MIPS complex annotation\np,1,"c1,c2"\nq,2,NOVEL\n')
+    assert {tuple(r) for r in cs.read_annotations(spark, str(tmp_path / "notes.csv")).collect()} == {("c1", "p"), ("c2", "p")}
     rows = spark.createDataFrame([("p", "x, NOVEL"), ("q", "x,y"), ("r", None)], "orf string, note string")
     assert {tuple(r) for r in cs.annotation_clusters(rows, "orf", "note").collect()} == {("x", "p"), ("x", "q"), ("y", "q")}
     (tmp_path / "d.xml").write_text("<dblp><article key='journals/1'><author>A B</author><author>C</author><year>2001</year></article></dblp>")
@@ -238,6 +302,33 @@ def test_result_documents(spark, tmp_path):
         results.clustering_rows(covered.withColumn("center", F.lit(None).cast("long")), vertices).collect()
 
 
+def test_scores_are_added_to_a_document(spark, tmp_path):
+    first = spark.createDataFrame([(1, 1, 1.0)], "id int, center int, probability double")
+    results.save_run(str(tmp_path / "run"), {"algorithm": "mcp"}, {"clustering": first, "scores": first})
+    results.with_tables(spark, str(tmp_path / "run"), str(tmp_path / "scored"), {"scores": spark.createDataFrame([(0.25, float("inf"))], "acr double, `inner-avpr` double")})
+    assert results.load_table(spark, str(tmp_path / "scored"), "scores").first().acr == 0.25
+    assert results.load_table(spark, str(tmp_path / "scored"), "clustering").first().center == 1
+    assert scores.needs_scores(["p_min"]) and not scores.needs_scores(["p_min", "acr", "inner-avpr", "outer-avpr", "x"])
+    (tmp_path / "lines.json").write_text('{"k": 3, "time": 2.0}\n{"k": 4, "time": 4.0}\n')
+    assert {(r.k, r.algorithm) for r in results.load_json_lines(spark, str(tmp_path / "lines.json"), "mcl").collect()} == {(3, "mcl"), (4, "mcl")}
+    runs = spark.createDataFrame([("DBLP", 3, "mcp", 2.0), ("DBLP", 3, "mcp", 4.0), ("Gavin", 3, "mcp", 9.0)], "input string, k int, algorithm string, time double")
+    assert [tuple(r) for r in report.scalability(runs, "DBLP").collect()] == [(3, "mcp", 3.0)]
+
+
+def test_fast_coins_are_uniform(spark):
+    row = spark.range(20_000).select(chance.fast_uniform(F.lit(1), F.col("id")).alias("u")).agg(F.min("u"), F.max("u"), F.avg("u"), F.avg((F.col("u") < 0.25).cast("int"))).first()
+    assert 0 <= row[0] < row[1] < 1 and row[2] == pytest.approx(0.5, abs=0.01) and row[3] == pytest.approx(0.25, abs=0.015)
+
+
+def test_a_shared_folder_is_demanded_of_clusters(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_folder(Elsewhere)
+
+
 def test_cached_table(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.range(3).write.parquet(source)

@@ -14,20 +14,29 @@ GRAPH = """
     arcs AS (SELECT src AS a, dst AS b, cnt, probability FROM edges UNION ALL SELECT dst, src, cnt, probability FROM edges)
 """
 COIN = "('0x' || substr(md5(concat_ws('|', {key})), 1, 13))::BIGINT"
-ALIVE = f"""
+
+def alive(worlds: int) -> str:
+    """Edges of the first worlds, and their arcs."""
+    return f"""
     alive AS (
-        SELECT w.world, src, dst FROM edges, range({WORLDS}) w(world)
+        SELECT w.world, src, dst FROM edges, range({worlds}) w(world)
         WHERE {COIN.format(key=f"{SEED}, w.world, src, dst")} / 4503599627370496.0 <= probability
     ),
-    steps AS (SELECT world, src AS a, dst AS b FROM alive UNION ALL SELECT world, dst, src FROM alive)
+    steps AS MATERIALIZED (SELECT world, src AS a, dst AS b FROM alive UNION ALL SELECT world, dst, src FROM alive)
 """
-COMPONENTS = f"""
+
+
+def components(worlds: int) -> str:
+    return f"""
     reach AS (
-        SELECT w.world, vertex, vertex AS root FROM vertices, range({WORLDS}) w(world)
+        SELECT w.world, vertex, vertex AS root FROM vertices, range({worlds}) w(world)
         UNION SELECT r.world, s.b, r.root FROM reach r JOIN steps s ON s.world = r.world AND s.a = r.vertex
     ),
     components AS MATERIALIZED (SELECT world, vertex, min(root) AS comp FROM reach GROUP BY world, vertex)
 """
+
+
+ALIVE, COMPONENTS = alive(WORLDS), components(WORLDS)
 FIXED = f"""
     firsts AS (SELECT vertex AS center FROM vertices ORDER BY vertex LIMIT {CENTERS}),
     hits AS (
@@ -82,34 +91,117 @@ def depth(d: int) -> str:
     return f"{WITH_ALIVE}, {seen} SELECT v.vertex, round(count(s.world) / {WORLDS}, 9) AS probability FROM vertices v LEFT JOIN seen{d} s ON s.v = v.vertex GROUP BY v.vertex"
 
 
-def greedy(p: float, k: int, allowed: int) -> str:
-    """One guess with the picks of centers unrolled, one step each."""
-    prio = COIN.format(key=f"'priority', {ALGORITHM_SEED}, 0, vertex")
-    sql = f"""{WITH_COMPONENTS},
-        n AS (SELECT count(*) AS n FROM vertices),
-        order_ AS MATERIALIZED (SELECT vertex, {prio} AS prio FROM vertices),
-        near AS MATERIALIZED (
-            SELECT c.vertex AS center, o.vertex, count(*) / {WORLDS} AS probability
-            FROM components c JOIN components o ON o.world = c.world AND o.comp = c.comp GROUP BY ALL HAVING count(*) / {WORLDS} >= {p}
-        ),
-        open0 AS (SELECT vertex FROM vertices)"""
+#: The guesses of a search by halves, and the worlds each asks for; the SQL fails where none of them is valid.
+GUESSES = ((1.0, 46), (0.5, 92), (0.25005, 184))
+MET = "SELECT c.vertex AS center, o.vertex, count(*) / {r} AS probability FROM components c JOIN components o ON o.world = c.world AND o.comp = c.comp WHERE c.world < {r} GROUP BY ALL HAVING count(*) / {r} >= {p}"
+MET_IN_4 = "SELECT root AS center, v AS vertex, count(*) / {r} AS probability FROM seen4 WHERE world < {r} GROUP BY ALL HAVING count(*) / {r} >= {p}"
+
+
+def guess(g: int, p: float, r: int, k: int, allowed: int, met: str = MET, batch: int | None = None) -> str:
+    """The clustering ``found{g}`` and ``done{g}`` of one guess, with the picks of centers unrolled, one step each."""
+    prio = lambda round_: COIN.format(key=f"'priority', {ALGORITHM_SEED}, {round_}, vertex")
+    sql = f"""
+        order{g} AS MATERIALIZED (SELECT vertex, {prio(g)} AS prio FROM vertices),
+        near{g} AS MATERIALIZED ({met.format(r=r, p=p)}),
+        open{g}_0 AS (SELECT vertex FROM vertices)"""
     picks = []
     for c in range(1, k):
+        if batch is None:
+            pick = f"SELECT {c} AS nth, vertex AS center FROM order{g} WHERE vertex IN (SELECT vertex FROM open{g}_{c - 1}) ORDER BY prio, vertex LIMIT 1"
+        else:
+            pick = f"""SELECT {c} AS nth, d.vertex AS center
+                FROM (SELECT vertex, {prio(g * 1_000_003 + c)} AS prio FROM open{g}_{c - 1} ORDER BY prio, vertex LIMIT {batch}) d
+                ORDER BY (SELECT count(*) FROM near{g} n WHERE n.center = d.vertex AND n.vertex IN (SELECT vertex FROM open{g}_{c - 1})) DESC, prio, d.vertex LIMIT 1"""
         sql += f""",
-        pick{c} AS MATERIALIZED (SELECT {c} AS nth, vertex AS center FROM order_ WHERE vertex IN (SELECT vertex FROM open{c - 1}) ORDER BY prio, vertex LIMIT 1),
-        open{c} AS MATERIALIZED (SELECT vertex FROM open{c - 1} WHERE vertex NOT IN (SELECT vertex FROM near JOIN pick{c} USING (center)))"""
-        picks.append(f"SELECT nth, center, (SELECT count(*) FROM open{c}) AS uncovered FROM pick{c}")
+        pick{g}_{c} AS MATERIALIZED ({pick}),
+        open{g}_{c} AS MATERIALIZED (SELECT vertex FROM open{g}_{c - 1} WHERE vertex NOT IN (SELECT vertex FROM near{g} JOIN pick{g}_{c} USING (center)))"""
+        picks.append(f"SELECT nth, center, (SELECT count(*) FROM open{g}_{c}) AS uncovered FROM pick{g}_{c}")
     return f"""{sql},
-        picks AS ({" UNION ALL ".join(picks)}),
-        done AS (SELECT min(nth) AS done FROM picks WHERE nth + uncovered <= {allowed}),
-        covers AS (
+        picks{g} AS MATERIALIZED ({" UNION ALL ".join(picks)}),
+        done{g} AS MATERIALIZED (SELECT min(nth) AS done FROM picks{g} WHERE nth + uncovered <= {allowed}),
+        covers{g} AS (
             SELECT n.*, row_number() OVER (PARTITION BY vertex ORDER BY probability DESC, nth) AS best
-            FROM near n JOIN picks USING (center) WHERE nth <= coalesce((SELECT done FROM done), {k})
-        )
-        SELECT v.vertex, CASE WHEN c.center IS NULL AND done IS NOT NULL THEN v.vertex ELSE c.center END AS center,
-               coalesce(v.vertex = c.center, done IS NOT NULL) AS is_center,
-               round(CASE WHEN c.center IS NULL AND done IS NOT NULL THEN 1 ELSE c.probability END, 9) AS probability
-        FROM vertices v LEFT JOIN covers c ON c.vertex = v.vertex AND c.best = 1, done"""
+            FROM near{g} n JOIN picks{g} USING (center) WHERE nth <= coalesce((SELECT done FROM done{g}), {k})
+        ),
+        found{g} AS MATERIALIZED (
+            SELECT {g} AS guess, v.vertex, CASE WHEN c.center IS NULL AND done IS NOT NULL THEN v.vertex ELSE c.center END AS center,
+                   coalesce(v.vertex = c.center, done IS NOT NULL) AS is_center,
+                   CASE WHEN c.center IS NULL AND done IS NOT NULL THEN 1 ELSE c.probability END AS probability
+            FROM vertices v LEFT JOIN covers{g} c ON c.vertex = v.vertex AND c.best = 1, done{g}
+        )"""
+
+
+def greedy(p: float, k: int, allowed: int) -> str:
+    return f"{WITH_COMPONENTS}, {guess(0, p, WORLDS, k, allowed)} SELECT vertex, center, is_center, round(probability, 9) AS probability FROM found0"
+
+
+def searched(k: int, met: str = MET, batch: int | None = None) -> str:
+    """All guesses, and ``first_valid``, the number of the first valid one."""
+    worlds = GUESSES[-1][1]
+    if met == MET:
+        sql = f"{WITH_GRAPH}, {alive(worlds)}, {components(worlds)}"
+    else:
+        sql = f"{WITH_GRAPH}, {alive(worlds)}, seen0 AS (SELECT w.world, vertex AS root, vertex AS v FROM vertices, range({worlds}) w(world))"
+        for d in range(1, 5):
+            sql += f", seen{d} AS MATERIALIZED (SELECT * FROM seen{d - 1} UNION SELECT s.world, s.root, t.b FROM seen{d - 1} s JOIN steps t ON t.world = s.world AND t.a = s.v)"
+    sql += "".join(f", {guess(g, p, r, k, k, met, batch)}" for g, (p, r) in enumerate(GUESSES))
+    valid = "CASE" + "".join(f" WHEN (SELECT done FROM done{g}) IS NOT NULL THEN {g}" for g in range(len(GUESSES)))
+    return f"{sql}, first_valid AS MATERIALIZED (SELECT {valid} ELSE error('no valid guess')::INTEGER END AS g), every AS ({' UNION ALL '.join(f'FROM found{g}' for g in range(len(GUESSES)))})"
+
+
+def minimum(k: int, met: str = MET) -> str:
+    """The first valid guess."""
+    return f"{searched(k, met)} SELECT vertex, center, is_center, round(probability, 9) AS probability FROM every WHERE guess = (SELECT g FROM first_valid)"
+
+
+def average(k: int, batch: int | None = None) -> str:
+    """Of the guesses made, that with the largest sum; who it leaves out joins the center it meets most in the last guess's worlds."""
+    last = "CASE (SELECT g FROM first_valid)" + "".join(f" WHEN {g} THEN {r}" for g, (_, r) in enumerate(GUESSES)) + " END"
+    return f"""{searched(k, batch=batch)},
+        best AS MATERIALIZED (SELECT guess FROM every WHERE guess <= (SELECT g FROM first_valid) GROUP BY guess ORDER BY coalesce(sum(probability), 0) DESC, guess LIMIT 1),
+        chosen AS MATERIALIZED (FROM every WHERE guess = (SELECT guess FROM best)),
+        met AS (
+            SELECT m.vertex, c.vertex AS center, count(*) AS hits FROM chosen m JOIN components a ON a.vertex = m.vertex AND a.world < {last}
+            JOIN components b ON b.world = a.world AND b.comp = a.comp JOIN chosen c ON c.vertex = b.vertex AND c.is_center WHERE m.center IS NULL GROUP BY ALL
+        ),
+        top AS (SELECT *, row_number() OVER (PARTITION BY vertex ORDER BY hits DESC, center) AS nth FROM met)
+        SELECT c.vertex, coalesce(c.center, t.center) AS center, is_center, round(coalesce(probability, hits / {last}, 0), 9) AS probability
+        FROM chosen c LEFT JOIN top t ON t.vertex = c.vertex AND t.nth = 1"""
+
+
+def farthest(k: int = 3, worlds: int = 460, rounds: int = 14) -> str:
+    """Farthest-first centers, each with the relaxation of all edges unrolled, then connections with the own center."""
+    first = f"SELECT vertex FROM vertices ORDER BY {COIN.format(key=f"'priority', {ALGORITHM_SEED}, 0, vertex")}, vertex LIMIT 1"
+    sql = f"{WITH_GRAPH}, {alive(worlds)}, center0 AS MATERIALIZED ({first})"
+    for c in range(k):
+        sql += f", d{c}_0 AS (SELECT vertex, 0.0::DOUBLE AS distance FROM center{c})"
+        for n in range(1, rounds + 1):
+            sql += f""", d{c}_{n} AS MATERIALIZED (
+                SELECT vertex, min(distance) AS distance FROM (
+                    SELECT * FROM d{c}_{n - 1} UNION ALL SELECT a.b, d.distance - ln(a.probability) FROM d{c}_{n - 1} d JOIN arcs a ON a.a = d.vertex
+                ) GROUP BY vertex)"""
+        reached = f"SELECT v.vertex, (SELECT vertex FROM center{c}) AS center, coalesce(d.distance, 'inf'::DOUBLE) AS distance FROM vertices v LEFT JOIN d{c}_{rounds} d USING (vertex)"
+        if c:
+            reached = f"SELECT o.vertex, CASE WHEN n.distance < o.distance THEN n.center ELSE o.center END AS center, least(n.distance, o.distance) AS distance FROM state{c - 1} o JOIN ({reached}) n USING (vertex)"
+        sql += f", state{c} AS MATERIALIZED ({reached}), center{c + 1} AS MATERIALIZED (SELECT vertex FROM state{c} ORDER BY distance DESC, vertex LIMIT 1)"
+    return f"""{sql},
+        own AS (SELECT DISTINCT center FROM state{k - 1}),
+        reach AS (SELECT w.world, center AS vertex, center AS root FROM own, range({worlds}) w(world)
+                  UNION SELECT r.world, s.b, r.root FROM reach r JOIN steps s ON s.world = r.world AND s.a = r.vertex)
+        SELECT s.vertex, s.center, s.vertex = s.center AS is_center, round(count(r.world) / {worlds}, 9) AS probability
+        FROM state{k - 1} s LEFT JOIN reach r ON r.vertex = s.vertex AND r.root = s.center GROUP BY ALL"""
+
+
+def flow(rounds: int = 40) -> str:
+    """Markov clustering, one step after the other."""
+    sql = f"""{WITH_GRAPH},
+        start AS (SELECT a AS i, b AS j, probability AS v FROM arcs UNION ALL SELECT b, b, max(probability) FROM arcs GROUP BY b),
+        m0 AS MATERIALIZED (SELECT i, j, v / sum(v) OVER (PARTITION BY j) AS v FROM start)"""
+    for n in range(1, rounds + 1):
+        sql += f""",
+        s{n} AS (SELECT l.i, r.j, sum(l.v * r.v) AS v FROM m{n - 1} l JOIN m{n - 1} r ON l.j = r.i GROUP BY l.i, r.j),
+        m{n} AS MATERIALIZED (SELECT i, j, v * v / sum(v * v) OVER (PARTITION BY j) AS v FROM s{n} WHERE v >= 1e-3)"""
+    return f"{sql} SELECT j AS vertex, arg_max(i, (round(v, 6), -i)) AS center FROM m{rounds} GROUP BY j"
 
 
 def shortest(rounds: int = 14) -> str:
@@ -125,8 +217,8 @@ def shortest(rounds: int = 14) -> str:
 
 CONFUSION = """
     SELECT {keys} tp, fp, pairs - tp AS fn, n * (n - 1) // 2 - pairs - fp AS tn,
-           round(tp / pairs, 9) AS tpr, round(fp / (n * (n - 1) // 2 - pairs), 9) AS fpr,
-           round((pairs - tp) / pairs, 9) AS fnr, round((n * (n - 1) // 2 - pairs - fp) / (n * (n - 1) // 2 - pairs), 9) AS tnr
+           round(tp / nullif(pairs, 0), 9) AS tpr, round(fp / nullif(n * (n - 1) // 2 - pairs, 0), 9) AS fpr,
+           round((pairs - tp) / nullif(pairs, 0), 9) AS fnr, round((n * (n - 1) // 2 - pairs - fp) / nullif(n * (n - 1) // 2 - pairs, 0), 9) AS tnr
     FROM counts, (SELECT count(*) AS pairs FROM wanted), (SELECT count(*) AS n FROM supplier)
 """
 WANTED = "wanted AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)"
@@ -164,7 +256,7 @@ ORACLE: dict[str, str] = {
         SELECT vertex, count(*)::BIGINT AS hits, round(count(*) / {WORLDS}, 9) AS probability FROM components JOIN own USING (world, comp) GROUP BY vertex""",
     "conn_prob_targets": f"""{WITH_COMPONENTS}, own AS (SELECT world, comp FROM components WHERE vertex = (SELECT min(vertex) FROM vertices))
         SELECT vertex, round(count(o.world) / {WORLDS}, 9) AS probability FROM components c LEFT JOIN own o ON o.world = c.world AND o.comp = c.comp
-        WHERE vertex % 7 = 0 GROUP BY vertex""",
+        WHERE vertex IN (SELECT s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 2) GROUP BY vertex""",
     "conn_prob_pairs": f"""{WITH_COMPONENTS} SELECT c.vertex AS a, d.vertex AS b, round(count(*) / {WORLDS}, 9) AS probability
         FROM components c JOIN components d ON d.world = c.world AND d.comp = c.comp AND c.vertex < d.vertex GROUP BY ALL HAVING count(*) / {WORLDS} >= 0.25""",
     "conn_prob_depth2": depth(2),
@@ -201,6 +293,22 @@ ORACLE: dict[str, str] = {
     "cluster_groups": f"{WITH_FIXED} SELECT center, count(*) AS size, min(vertex) AS first_vertex, max(vertex) AS last_vertex FROM fixed GROUP BY center",
     "mcp_fixed_p": greedy(0.9, 6, 9),
     "acp_fixed_p": greedy(0.97, 4, 4),
+    "mcp": minimum(6),
+    "mcp_depth": minimum(6, MET_IN_4),
+    "acp": average(4),
+    "acp_batch": average(4, batch=8),
+    "gmm": farthest(),
+    "mcl": flow(),
+    "pkwik": f"""{WITH_GRAPH}, strong AS (SELECT a, b FROM arcs WHERE probability >= 0.5),
+        ordered AS MATERIALIZED (
+            SELECT a AS vertex, list(b) AS near, {COIN.format(key=f"'priority', {ALGORITHM_SEED}, 0, a")} AS prio, row_number() OVER (ORDER BY prio, a) AS nth FROM strong GROUP BY a
+        ),
+        walk AS (SELECT 0::BIGINT AS nth, []::BIGINT[] AS pivots
+                 UNION ALL SELECT o.nth, CASE WHEN list_has_any(o.near, w.pivots) THEN w.pivots ELSE list_append(w.pivots, o.vertex) END FROM walk w JOIN ordered o ON o.nth = w.nth + 1),
+        pivots AS MATERIALIZED (SELECT unnest(pivots) AS vertex FROM (SELECT pivots FROM walk ORDER BY nth DESC LIMIT 1))
+        SELECT o.vertex, CASE WHEN o.vertex IN (FROM pivots) THEN o.vertex ELSE (
+            SELECT arg_min(p.vertex, p.nth) FROM ordered p WHERE p.vertex IN (FROM pivots) AND list_contains(o.near, p.vertex)) END AS center
+        FROM ordered o""",
     "acp_completion": f"""{WITH_FIXED} SELECT vertex, center, is_center, round(probability, 9) AS probability FROM fixed""",
     "sssp_distances": shortest(),
     "score_basic": f"""{WITH_FIXED} SELECT round(least(1, min(probability)), 9) AS p_min, round(sum(probability), 9) AS probabilities_sum,

@@ -214,7 +214,9 @@ def conn_prob_incremental(spark, sf_dir):
 @query
 def conn_prob_targets(spark, sf_dir):
     vertices, comps = world_table(spark, sf_dir)
-    return rounded(reliability.from_source(comps, lowest(vertices), WORLDS, vertices.filter("vertex % 7 = 0")))
+    nations = table(spark, sf_dir, "nation").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("s_nationkey"))
+    targets = table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select(F.col("s_suppkey").alias("vertex"))
+    return rounded(reliability.from_source(comps, lowest(vertices), WORLDS, targets))
 
 
 @query
@@ -287,10 +289,9 @@ def cluster_groups(spark, sf_dir):
 
 
 def one_guess(spark, sf_dir, p, k, allowed):
-    vertices, comps = world_table(spark, sf_dir)
-    w = Worlds(suppliers(spark, sf_dir), vertices, seed=SEED)
-    pairs = kept(cl.symmetric(reliability.pair_probabilities(comps, WORLDS, p)), "pairs")
-    return rounded(cl.greedy_at(w, pairs, p, k, allowed, cl.ALGORITHM_SEED, 0)[0])
+    w = Worlds(suppliers(spark, sf_dir), seed=SEED)
+    w.grow(WORLDS)
+    return rounded(cl.greedy_at(w, p, k, allowed, cl.ALGORITHM_SEED, 0)[0])
 
 
 @query

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .edges import read_lines
+
 
 def clusters_from_lines(lines: DataFrame) -> DataFrame:
     """``cluster_id, member``: one cluster per line, or one pair per line if every line has two names."""
@@ -20,7 +22,7 @@ def clusters_from_document(document: DataFrame) -> DataFrame:
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """Text or JSON, told apart by the first character; gzip and bzip2 by extension."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
+    lines = read_lines(spark, path)
     head = lines.filter(F.trim("value") != "").orderBy("line_no").limit(1).collect()
     if head and head[0].value.lstrip().startswith("{"):
         return clusters_from_document(spark.read.option("multiLine", True).json(path))
@@ -50,11 +52,21 @@ def annotation_clusters(rows: DataFrame, member: str, annotation: str) -> DataFr
     return each.filter(~F.col("cluster_id").isin("NOVEL", "")).select("cluster_id", "member").distinct()
 
 
+def read_annotations(spark: SparkSession, path: str, member: str = "ORF", annotation: str = "MIPS complex annotation") -> DataFrame:
+    """``cluster_id, member`` from a CSV file with a header."""
+    return annotation_clusters(spark.read.option("header", True).csv(path), f"`{member}`", f"`{annotation}`")
+
+
 def known_members(clusters: DataFrame, known: DataFrame) -> DataFrame:
     """``clusters`` reduced to the members in ``known(member)``; complexes without any vanish."""
     return clusters.join(known.select("member").distinct(), "member", "left_semi").select("cluster_id", "member")
 
 
+def known_complexes(spark: SparkSession, complexes: str, interactions: str) -> DataFrame:
+    """The complexes of one file, reduced to the proteins of an interaction list, as a ground truth."""
+    return known_members(read_complexes(spark, complexes), read_proteins(spark, interactions))
+
+
 def read_proteins(spark: SparkSession, path: str) -> DataFrame:
     """``member``: the upper-cased names of an interaction list ``u v probability``."""
     tokens = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("t")).filter(F.size("t") == 3)

@@ -73,9 +73,20 @@ def graph_from_lines(lines: DataFrame) -> Graph:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, value`` of a text file (or several, in order of their names); compression by extension."""
-    named = spark.read.text(path).withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
-    return named.select(F.col("at").alias("line_no"), "value")
+    """``line_no, value`` of a text file (or several, in order of their names); compression by extension.
+
+    Spark reads parts of files in any order, so lines are ordered by file, then part, then place within the part.
+    """
+    places = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    return numbered(spark.read.text(path).select("value", *places), ["file", "block", "at"], "line_no").select("line_no", "value")
+
+
+def vertex_of(graph: Graph, label: str) -> int:
+    """The number of a label; an unknown one is an error."""
+    found = graph.vertices.filter(F.col("label") == label).first()
+    if found is None:
+        raise KeyError(label)
+    return found.vertex
 
 
 def read_edge_list(spark: SparkSession, path: str) -> Graph:

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from ..storage import fresh_path
 
 
+def finite(df: DataFrame, name: str) -> Column:
+    """A column with null for numbers that JSON cannot hold."""
+    c = F.col(f"`{name}`")
+    kind = dict(df.dtypes)[name]
+    return (F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c) if kind in ("double", "float") else c).alias(name)
+
+
 def save_run(path: str, tags: dict[str, object], tables: dict[str, DataFrame], date: str | None = None) -> None:
     """Writes one bzip2 document ``{date, tags, tables: {name: [row, ...]}}``.
 
@@ -17,17 +24,21 @@ def save_run(path: str, tags: dict[str, object], tables: dict[str, DataFrame], d
     Non-finite numbers become null.
     """
     spark = next(iter(tables.values())).sparkSession
-
-    def finite(df: DataFrame, name: str) -> Column:
-        c = F.col(f"`{name}`")
-        kind = dict(df.dtypes)[name]
-        return (F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c) if kind in ("double", "float") else c).alias(name)
-
     doc = spark.range(1).select(F.lit(date or datetime.now(timezone.utc).isoformat()).alias("date"), F.struct(*(F.lit(v).alias(k) for k, v in tags.items())).alias("tags"))
     for name, df in tables.items():
         rows = df.agg(F.collect_list(F.struct(*(finite(df, c) for c in df.columns))).alias(name))
         doc = doc.crossJoin(rows)  # one row each
-    doc.select("date", "tags", F.struct(*tables).alias("tables")).coalesce(1).write.option("compression", "bzip2").json(path)
+    doc.select("date", "tags", F.struct(*(F.col(f"`{c}`") for c in tables)).alias("tables")).coalesce(1).write.option("compression", "bzip2").json(path)
+
+
+def with_tables(spark: SparkSession, path: str, out: str, tables: dict[str, DataFrame]) -> None:
+    """The document at ``path`` with ``tables`` added (or put in place of its own), written to ``out``; ``path`` stays."""
+    doc = spark.read.option("multiLine", True).json(path)
+    old = [c for c in doc.select("tables.*").columns if c not in tables]
+    for name, df in tables.items():
+        doc = doc.crossJoin(df.agg(F.collect_list(F.struct(*(finite(df, c) for c in df.columns))).alias(name)))  # one row each
+    merged = F.struct(*(F.col(f"tables.`{c}`").alias(c) for c in old), *(F.col(f"`{c}`") for c in tables))
+    doc.select("date", "tags", merged.alias("tables")).coalesce(1).write.option("compression", "bzip2").json(out)
 
 
 def load_table(spark: SparkSession, paths: str | list[str], name: str) -> DataFrame:
