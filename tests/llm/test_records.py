@@ -91,13 +91,15 @@ def test_archives(spark, monkeypatch):
         wanted.append((i, url, "response" if refers is None else "revisit", len(data), hashlib.sha1(data).hexdigest(), refers, (html or "") if refers is None else None))
     assert sorted(map(tuple, found), key=str) == sorted(wanted, key=str)
     for url in (rows[3][1], "http://n.org/", "http://absent.org/"):
-        assert {r.page_id for r in warc.lookup(spark, path, url).collect()} == {i for i, u, _ in rows if warc.capture_key(u) == warc.capture_key(url)}
+        assert {r.page_id for r in warc.lookup(spark, path, spark.createDataFrame([(url,), (url,)], "url string")).collect()} == {i for i, u, _ in rows if warc.capture_key(u) == warc.capture_key(url)}
+    assert sorted(map(tuple, warc.lookup(spark, path, df).collect()), key=str) == sorted(wanted, key=str)
+    assert warc.lookup(spark, path, df.limit(0)).count() == 0
     stream = b"".join(bytes(r.bytes) for r in spark.read.parquet(f"{path}/archives").filter("archive = 0").orderBy("chunk").collect())
     assert gzip.decompress(stream).startswith(b"WARC/1.1\r\n")
     assert spark.read.parquet(f"{path}/directory").count() > 10
     empty = fresh_path(spark, "warc")
     warc.write_archives(df.limit(0), empty)
-    assert warc.read_archives(spark, empty).count() == 0
+    assert warc.read_archives(spark, empty).count() == 0 and warc.lookup(spark, empty, df).count() == 0
 
 
 def test_archives_beyond_the_broadcast(spark, monkeypatch):
@@ -155,3 +157,32 @@ def test_pipeline(spark, tmp_path):
     assert lengths == {i: len(exact("byte_bpe_50k.json", t)) + 1 for i, t in rows}
     assert sum(lengths.values()) > 0
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(lengths)
+
+
+def test_a_very_long_turn(spark):
+    text = "a <|im_end|> \n" * 100_000
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn int, role string, text string")
+    row = conversation_digests(format_conversations(turns)).first()
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert row.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    rng = random.Random(14)
+    words = vocabulary(rng, 200)
+    texts = [" ".join(rng.choices(words, k=50)) for _ in range(20)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (3, "another text of this id"), (None, texts[5]), (None, None), (50, " ".join(rng.choices(words, k=60_000))), (51, ""), (52, "")]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, node long, key string, words string, salt int, ids binary"
+    for name, docs in (("odd", [(i, t, "en", "s", 1, 2, "k", "w", 3, b"x") for i, t in rows]), ("none", [])):
+        path = str(tmp_path / name)
+        spark.createDataFrame(docs, shape).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, texts[7])], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        packed = corpus_pipeline.run(spark, path).collect()
+        if not docs:
+            assert packed == []
+            continue
+        check_packed(packed, 2048)
+        # Without labels all stay; copies of 3 share its decision, 7 leaks, 51 and 52 are equal, rows without an id stay.
+        assert {r.doc_id for r in packed} == {i for i, _ in rows} - {7, 52}
+        assert sum(r.piece == 0 for r in packed if r.doc_id is None) == 2 and sum(r.length for r in packed if r.doc_id == 50) == len(exact("byte_bpe_50k.json", rows[-3][1])) + 1

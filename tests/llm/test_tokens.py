@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 import zlib
 
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tyche.llm import packing
+from tyche.llm import encoding, packing
 from tyche.llm.encoding import WordEncoder, slices
 from tyche.llm.shared import fresh_path
 from tyche.llm.token_counts import count_tokens
@@ -43,7 +44,7 @@ def pair(request):
 def test_any_text(pair, parts):
     (own, library), text = pair, "".join(parts)
     wanted = library.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(own.ids(text), "<u4").tolist() == wanted and own.length(text) == len(wanted)
+    assert np.frombuffer(own.ids(text), "<u4").tolist() == wanted and own.lengths([text, "", text]) == [len(wanted), 0, len(wanted)]
 
 
 def test_odd_texts_and_slices(pair):
@@ -52,7 +53,25 @@ def test_odd_texts_and_slices(pair):
         assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
     long = " ".join(ODD) * 30
     assert "".join(slices(long, 50)) == long and len(list(slices(long, 50))) > 10
-    assert sum(own.length(x) for x in slices(long, 50)) == own.length(long)
+    assert [sum(own.lengths(list(slices(long, 50))))] == own.lengths([long]) == [len(own.ids(long)) // 4]
+
+
+def test_lengths_with_a_small_memory(pair, monkeypatch):
+    own, library = pair
+    monkeypatch.setattr(encoding, "KEPT_WORDS", 3)
+    monkeypatch.setattr(encoding, "BATCH_WORDS", 2)
+    monkeypatch.setattr(encoding, "SLICE_CHARS", 20)
+    assert own.lengths(ODD) == [len(e) for e in library.encode_batch(ODD, add_special_tokens=False)] and len(own.counts) <= 3
+
+
+def test_lengths_by_sentencepiece(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    models = sorted(x for x in os.listdir(os.path.dirname(public_tokenizers.path(FILES[0]))) if x.endswith(".model"))
+    path = public_tokenizers.path(models[0])
+    own = SentencePieceProcessor(model_file=path)
+    rows = {(r.doc_id, r.n_tokens) for r in count_tokens(table(spark, CASES), path).collect()}
+    assert rows == {(i, len(own.encode(t or ""))) for i, t in CASES}
 
 
 def table(spark, rows):
@@ -171,6 +190,13 @@ def test_completion_looks_beyond_the_first_filling_without_waste():
     assert sum(m for _, m in packing.bin_completion({x: lengths.count(x) for x in lengths}, 100)) == 3
 
 
+def test_the_search_beats_best_fit_on_whole_sequences():
+    histogram = {1228: 20, 1208: 20, 1188: 20, 655: 20, 614: 20, 410: 40, 226: 20, 205: 20}  # 1228+410+410, 1208+614+226, 1188+655+205
+    greedy = sum(m for _, m in packing.best_fit(histogram, 2048))
+    found = packing.bin_completion(histogram, 2048)
+    assert sum(m for _, m in found) == packing.lower_bound(histogram, 2048) == 60 < greedy
+
+
 def test_fillings_are_all_undominated_ones():
     rng = random.Random(5)
     for _ in range(200):

@@ -3,13 +3,14 @@
 A text is cut only where a run of non-space characters ends and white space begins. No pre-tokenizer or
 normalizer of the supported vocabularies looks across such a place (white space is either dropped or starts the
 next word), so the ids of the pieces, joined, are the ids of the text. Natural text repeats its words: each worker
-keeps the ids of the words seen so far and asks the library only for new ones; words of plain letters and marks
-go straight to the library's model.
+keeps what it knows of the words seen so far and asks the library only for new ones: for lengths, all new words of
+a batch in one call; for ids, words of plain letters and marks go straight to the library's model.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -28,9 +29,11 @@ ONLY_PYTHON = re.compile("[\x1c-\x1f]")
 SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?%#$&*;:]*)")
 
 #: Words kept by a worker, and the longest of them in characters.
-KEPT_WORDS, KEPT_CHARS = 1_000_000, 64
+KEPT_WORDS, KEPT_CHARS = 400_000, 64
+#: Words that the library encodes in one call.
+BATCH_WORDS = 8192
 #: A longer text is cut at word ends into slices of about this many characters.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
 
 
 def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
@@ -74,7 +77,7 @@ class WordEncoder:
         self.letters = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in printable)}
         self.cores = Kept(self._model)
         self.known = Kept(self._ids)
-        self.counts = Kept(lambda w: len(self._ids(w)) // 4)
+        self.counts: dict[str, int] = {}
         probes = ["Stra\xdfe.", "\xc0\xc9ta\xff,", "a", "ing%%%", "Thnterion"]
         self.simple = [self._simple(*SIMPLE.fullmatch(w).groups()) for w in probes] == [self._by_library(w if self.bare else " " + w) for w in probes]
 
@@ -91,7 +94,11 @@ class WordEncoder:
     def _ids(self, word: str) -> bytes:
         if self.simple and (parts := SIMPLE.fullmatch(word)):
             return self._simple(*parts.groups())
-        return self._by_library(word if self.bare else word[1:] if word[:1] == "\0" else " " + word)
+        return self._by_library(self._spelled(word))
+
+    def _spelled(self, word: str) -> str:
+        """The text that a key stands for."""
+        return word if self.bare else word[1:] if word[:1] == "\0" else " " + word
 
     def _by_library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -108,11 +115,53 @@ class WordEncoder:
         """All ids as little-endian unsigned 32-bit integers."""
         return b"".join(b"".join(map(self.known.__getitem__, self.words(x))) for x in slices(text))
 
-    def length(self, text: str) -> int:
-        return sum(sum(map(self.counts.__getitem__, self.words(x))) for x in slices(text))
+    def _known(self, words: set[str]) -> dict[str, int]:
+        """The lengths of ``words``; new ones by the library, in batches."""
+        found = {w: self.counts[w] for w in words if w in self.counts}
+        new = list(words - found.keys())
+        for k in range(0, len(new), BATCH_WORDS):
+            part = new[k : k + BATCH_WORDS]
+            encoded = self.tokenizer.encode_batch_fast(list(map(self._spelled, part)), add_special_tokens=False)
+            found.update(zip(part, map(len, encoded), strict=True))
+        if len(self.counts) + len(new) > KEPT_WORDS:
+            self.counts.clear()
+        self.counts.update((w, found[w]) for w in new[:KEPT_WORDS] if len(w) <= KEPT_CHARS)
+        return found
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text; slices are looked up together, about ``SLICE_CHARS`` characters at a time."""
+        counts, held, size = [0] * len(texts), [], 0
+
+        def count() -> None:
+            known = self._known(set().union(*(words for _, words in held)))
+            for k, words in held:
+                counts[k] += sum(map(known.__getitem__, words))
+
+        for k, text in enumerate(texts):
+            for part in slices(text):
+                held.append((k, self.words(part)))
+                size += len(part)
+                if size > SLICE_CHARS:
+                    count()
+                    held, size = [], 0
+        count()
+        return counts
+
+
+class PieceEncoder:
+    """Lengths by the sentencepiece library, for its ``.model`` files."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.encode = SentencePieceProcessor(model_file=path).encode
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        return list(map(len, self.encode(texts, out_type=int, num_threads=1)))
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each vocabulary and Python worker."""
-    return WordEncoder(path)
+    """One encoder for each vocabulary and Python worker; a task keeps to its core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return PieceEncoder(path) if path.endswith(".model") else WordEncoder(path)

@@ -7,6 +7,7 @@ then numbers the pieces of each length and looks up the place that the plan give
 
 from __future__ import annotations
 
+import logging
 import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .encoding import encoder
-from .shared import kept
+from .shared import kept, mapped
 from .token_counts import balanced
 
+log = logging.getLogger(__name__)
 #: Pieces of one length are numbered in so many independent groups.
 SALTS = 64
 #: Fillings looked at for each branch of the search, on average, and those that are sorted together.
@@ -53,14 +55,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
                     rows.append((doc_id, k, a, b - a, ids[4 * a : 4 * b]))
                 size += len(ids)
-                if size > 1 << 22:
+                if size > 1 << 20:
                     yield flush()
                     rows, size = [], 0
         if rows:
             yield flush()
 
     out = StructType([StructField("doc_id", LongType()), StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids", BinaryType())])
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(cut, out)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))), cut, out)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -253,7 +255,9 @@ def pack(cut: DataFrame, capacity: int = 2048, nodes: int = 6000) -> DataFrame:
         bases.append((length, salt, histogram.get(length, 0)))
         histogram[length] = histogram.get(length, 0) + n
     places: dict[int, list] = {}
-    for length, *place in layout(bin_completion(histogram, capacity, nodes)):
+    patterns = bin_completion(histogram, capacity, nodes)
+    log.info("%s sequences; no packing has fewer than %s", sum(m for _, m in patterns), lower_bound(histogram, capacity))
+    for length, *place in layout(patterns):
         places.setdefault(length, []).append(tuple(place))
     base = spark.createDataFrame(bases, "length long, salt int, base long")
     plan = spark.createDataFrame(list(places.items()), "length long, places array<struct<first_rank: long, first_bin: long, per_bin: long, at: long>>")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import Kept
-from .shared import kept
+from .shared import kept, mapped
 from .token_counts import balanced
 
 #: Labelled rows that may train the model (those with the smallest hashes of their id), and the bytes of all their features.
@@ -52,7 +52,7 @@ def places(word: bytes) -> tuple[int, int]:
 
 
 #: Buckets of the words that a worker has met.
-PLACES = Kept(places, 200_000)
+PLACES = Kept(places, 100_000)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -128,14 +128,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.nda
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray]:
-    """Features and labels of a bounded sample of labelled rows whose crc32 of the id is not 0 modulo 5.
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list, np.ndarray]:
+    """Features and labels of a bounded sample of labelled ids whose crc32 is not 0 modulo 5.
 
-    Each row has all its features, as for its score; rows whose features exceed ``SAMPLE_BYTES`` together are fewer.
+    The ``sample_rows`` ids with the smallest hashes, each with one text (that of the smallest hash, where its id is
+    repeated) and all its features, as for its score; ids whose features exceed ``sample_bytes`` together are fewer.
     """
     usable = labels.filter("doc_id is not null and quality is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in balanced(batches, 1):
@@ -143,12 +145,12 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray]
             packed = [[r[0].astype("<i4").tobytes() for r in rows], [r[1].tobytes() for r in rows], [np.array(r[2], "<f4").tobytes() for r in rows]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(p, pa.binary()) for p in packed)], ["doc_id", "quality", "at", "x", "stats"])
 
-    found = texts.mapInArrow(run, f"doc_id long, quality {dict(labels.dtypes)['quality']}, at binary, x binary, stats binary").limit(2 * SAMPLE_ROWS)
+    found = mapped(texts, run, f"doc_id long, quality {dict(labels.dtypes)['quality']}, at binary, x binary, stats binary")
     sample = kept(found, "training")
     order, total = F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id"), 0
     for r in sample.groupBy(order.alias("place")).agg(F.sum(F.length("at") + F.length("x")).alias("size")).orderBy("place").collect():
         total += r.size
-        if total > SAMPLE_BYTES:
+        if total > sample_bytes:
             sample = sample.filter(order < F.struct(F.lit(r.place.hash).alias("hash"), F.lit(r.place.doc_id).alias("doc_id")))
             break
     found = sample.collect()
@@ -157,29 +159,29 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray]
     return rows, np.array([int(r.quality) for r in found])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, score`` of each row of ``docs``; the score is the probability of label 1.
+def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, score`` of each row of ``docs``; the score is the probability of label 1, learned from ``sample_rows`` labelled rows at most.
 
     Only the text is read for a score. A null text counts as empty and gets a score as any other; null ids and
     repeated rows keep their rows; without labels of both classes the score is constant; an empty table gives an
     empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(*training_rows(docs, labels)))
+    model = docs.sparkSession.sparkContext.broadcast(train(*training_rows(docs, labels, sample_rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in balanced(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.value.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, score double")
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, least: float, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``least``, as :func:`quality_scores` gives it."""
-    model = docs.sparkSession.sparkContext.broadcast(train(*training_rows(docs, labels)))
+    model = docs.sparkSession.sparkContext.broadcast(train(*training_rows(docs, labels, sample_rows)))
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in balanced(batches, text_at):
             yield batch.filter(pa.array([model.value.score(t or "") >= least for t in batch.column(text_at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

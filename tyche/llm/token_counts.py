@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .encoding import encoder
+from .shared import mapped
 
 #: Texts of about so many characters make one batch of results.
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 20
 
 
 def balanced(rows: Iterator[pa.RecordBatch], text_at: int, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
@@ -31,7 +32,7 @@ def balanced(rows: Iterator[pa.RecordBatch], text_at: int, chars: int = BATCH_CH
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_bytes, n_tokens`` of each row of ``docs``; ``vocabulary`` is the path of a tokenizers file.
+    """``id, n_bytes, n_tokens`` of each row of ``docs``; ``vocabulary`` is the path of a tokenizers (.json) or sentencepiece (.model) file.
 
     Rows map one to one: a repeated row is counted again, a null text counts as empty (0 tokens), a null id stays
     null, other columns are not read, and an empty table gives an empty result.
@@ -39,12 +40,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length = encoder(vocabulary).length
+        lengths_of = encoder(vocabulary).lengths
         for batch in balanced(batches, 1):
-            counts = pa.array(map(length, batch.column(1).to_pylist()), pa.int64())
+            counts = pa.array(lengths_of(batch.column(1).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), counts], ["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     out = StructType([StructField("id", kind), StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
-    return narrow.mapInArrow(lengths, out).withColumnRenamed("id", id_col)
+    return mapped(narrow, lengths, out).withColumnRenamed("id", id_col)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
+from .shared import mapped
 from .token_counts import balanced
 
 BLOCKS = "shard int, shard_start long, first_id long, last_id long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, id_bytes int, dict_hash string, payload binary"
@@ -32,23 +33,23 @@ def id_width(vocabulary: str) -> int:
     return 2 if encoder(vocabulary).tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int) -> bytes:
-    """A dictionary from the ids of the ``SAMPLE_DOCS`` documents with the smallest hashes of their id.
+def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, sample_docs: int = SAMPLE_DOCS, sample_ids: int = SAMPLE_IDS) -> bytes:
+    """A dictionary from the first ``sample_ids`` ids of the ``sample_docs`` documents with the smallest hashes of their id.
 
     The sample only shapes the dictionary; every document is written whole. Too few ids give an empty dictionary.
     """
     import zstandard
 
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    texts = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text")
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    texts = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text")
     width = id_width(vocabulary)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [serialized(x, end_id, width)[: SAMPLE_IDS * width] for x in map(encoder(vocabulary).ids, batch.column(0).to_pylist())]
+            ids = [serialized(x, end_id, width)[: sample_ids * width] for x in map(encoder(vocabulary).ids, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
-    samples = [bytes(r.ids) for r in texts.mapInArrow(encoded, "ids binary").limit(4 * SAMPLE_DOCS).collect()]
+    samples = [bytes(r.ids) for r in mapped(texts, encoded, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, sorted(samples)).as_bytes()
     except zstandard.ZstdError:
@@ -59,7 +60,7 @@ def serialized(ids: bytes, end_id: int, width: int) -> bytes:
     return np.append(np.frombuffer(ids, "<u4"), end_id).astype(f"<u{width}").tobytes()
 
 
-def write_token_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
+def write_token_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, sample_docs: int = SAMPLE_DOCS) -> None:
     """Writes the ids of all ``docs`` (``doc_id``, ``text``), ``end_id`` appended to each, in ascending doc_id order.
 
     A null text is the end id alone, null ids come first, repeated rows are written each, other columns are not
@@ -69,7 +70,7 @@ def write_token_store(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    dictionary, width = train_dictionary(docs, vocabulary, end_id), id_width(vocabulary)
+    dictionary, width = train_dictionary(docs, vocabulary, end_id, sample_docs), id_width(vocabulary)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(dict_hash, bytearray(dictionary))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -103,7 +104,7 @@ def write_token_store(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             yield block()
 
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    mapped(ordered, blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_token_store(spark: SparkSession, path: str, doc_ids: tuple[int, int] | None = None) -> DataFrame:
@@ -140,6 +141,6 @@ def read_token_store(spark: SparkSession, path: str, doc_ids: tuple[int, int] |
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     # An Arrow batch of default length would hold thousands of blocks; each is handed over alone as its size allows.
-    documents = chosen.mapInArrow(inflate, "shard int, within long, doc_id long, n_tokens long, ids binary")
+    documents = mapped(chosen, inflate, "shard int, within long, doc_id long, n_tokens long, ids binary")
     # The bases are one row for each shard that one writing job made.
     return documents.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")

@@ -5,8 +5,8 @@ megabyte, rows of a Parquet table (``archive``, ``chunk``, ``bytes``), so that a
 it and a reader fetches one chunk. Written in order, the chunks of an archive are a valid ``.warc.gz`` file.
 
 The index sorts captures by their key (host labels reversed, then path; then page_id) into compressed blocks. Its
-sparse directory has one row per block: the first key. A lookup finds its blocks by the directory, bisects their
-lines, and reads the named range of the named chunk.
+sparse directory has one row per block: the first and last key. A lookup bisects the directory for the blocks of its
+keys, bisects the lines of each block, and cuts the named range out of the named chunk (Spark reads a chunk whole).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 from urllib.parse import urlsplit
@@ -24,14 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import kept, mapped
 from .token_counts import balanced
 
 #: Smallest payload in bytes that a revisit may stand for.
 REVISIT_BYTES = 1000
 #: Digests with copies up to this number (about 60 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_DIGESTS = 100_000
-CHUNK_BYTES, BLOCK_LINES = 1 << 20, 3000
+CHUNK_BYTES = 1 << 20
+#: Lines of an index block, and the blocks of an index at most: beyond, blocks get more lines. So a directory may be broadcast.
+BLOCK_LINES, MOST_BLOCKS = 3000, 500_000
 CHUNKS = "archive int, chunk int, keys array<string>, page_ids array<long>, starts array<int>, sizes array<int>, bytes binary"
 BLOCKS = "shard int, block int, first_key string, last_key string, lines binary"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string"
@@ -128,9 +130,10 @@ def write_archives(pages: DataFrame, path: str) -> None:
         if members:
             yield chunk()
 
-    joined.mapInArrow(chunks, CHUNKS).write.option("compression", "none").parquet(f"{path}/archives")
+    mapped(joined, chunks, CHUNKS).write.option("compression", "none").parquet(f"{path}/archives")
 
     stored = pages.sparkSession.read.schema(CHUNKS).parquet(f"{path}/archives")
+    block_lines = max(BLOCK_LINES, -(-(stored.agg(F.sum(F.size("page_ids"))).first()[0] or 0) // MOST_BLOCKS))
     captures = stored.select("archive", "chunk", F.explode(F.arrays_zip("keys", "page_ids", "starts", "sizes")).alias("c"))
     captures = captures.select(F.col("c.keys").alias("key"), F.col("c.page_ids").alias("page_id"), "archive", "chunk", F.col("c.starts").alias("start"), F.col("c.sizes").alias("size"))
 
@@ -147,33 +150,37 @@ def write_archives(pages: DataFrame, path: str) -> None:
         for batch in batches:
             for line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines.append(line)
-                if len(lines) >= BLOCK_LINES:
+                if len(lines) >= block_lines:
                     yield block()
                     lines, number = [], number + 1
         if lines:
             yield block()
 
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/index")
+    mapped(ordered, blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/index")
     index = pages.sparkSession.read.schema(BLOCKS).parquet(f"{path}/index")
     index.select("first_key", "last_key", "shard", "block").write.parquet(f"{path}/directory")
 
 
-def index_lines(blocks: DataFrame, key: str | None = None) -> DataFrame:
-    """``key, page_id, archive, chunk, start, size`` from index blocks; with ``key`` only its lines, by bisection."""
+LINE = "key string, page_id long, archive int, chunk int, start int, size int"
+
+
+def index_lines(blocks: DataFrame, some: bool = False) -> DataFrame:
+    """The lines of index blocks; with ``some``, only those of the keys in a block's column ``wanted``, by bisection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed in batch.column(0):
+            for packed, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 lines = [line.split("\t") for line in zlib.decompress(packed.as_py()).decode("utf-8").split("\n")]
-                if key is not None:
-                    first = bisect_left(lines, key, key=lambda line: line[0])
-                    lines = lines[first : bisect_left(lines, key + "\0", lo=first, key=lambda line: line[0])]
+                if some:
+                    keys = [line[0] for line in lines]
+                    ranges = [(bisect_left(keys, key), bisect_right(keys, key)) for key in sorted(wanted.as_py())]
+                    lines = [line for first, stop in ranges for line in lines[first:stop]]
                 columns = list(zip(*lines, strict=True)) or [()] * 6
                 numbers = [pa.array([int(v) if v else None for v in c], k) for c, k in zip(columns[1:], (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *numbers], ["key", "page_id", "archive", "chunk", "start", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *numbers], [f.split()[0] for f in LINE.split(", ")])
 
-    return blocks.select("lines").mapInArrow(run, "key string, page_id long, archive int, chunk int, start int, size int")
+    return mapped(blocks.select("lines", "wanted" if some else F.lit(None).cast("array<string>")), run, LINE)
 
 
 def read_captures(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
@@ -191,18 +198,36 @@ def read_captures(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame
                 rows = [parsed(whole[r["start"] : r["start"] + r["size"]]) for r in ranges.as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return wanted.mapInArrow(run, RECORD)
+    return mapped(wanted, run, RECORD)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All records, through the index."""
+    """All records, by all lines of the index."""
     return read_captures(spark, path, index_lines(spark.read.schema(BLOCKS).parquet(f"{path}/index")))
 
 
-def lookup(spark: SparkSession, path: str, url: str) -> DataFrame:
-    """The records of ``url``'s key: directory, then blocks, then ranges."""
-    key = capture_key(url)
-    holds = (F.col("first_key") <= key) & (F.col("last_key") >= key)
-    near = spark.read.parquet(f"{path}/directory").filter(holds).select("shard", "block")
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/index").filter(holds).join(near, ["shard", "block"], "left_semi")
-    return read_captures(spark, path, index_lines(blocks, key))
+def lookup(spark: SparkSession, path: str, urls: DataFrame) -> DataFrame:
+    """The records whose keys are those of ``urls(url)``, each once: directory, then blocks, then ranges.
+
+    A null url has the empty key; repeated urls, and urls of one key, are one; an unknown key has no record; an empty
+    table gives an empty result.
+    """
+    directory = spark.read.parquet(f"{path}/directory").orderBy("shard", "block").collect()  # MOST_BLOCKS rows, about
+    known = spark.sparkContext.broadcast(([r.first_key for r in directory], [r.last_key for r in directory], [(r.shard, r.block) for r in directory]))
+
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts, places = known.value
+        for batch in batches:
+            found: list[tuple] = []
+            for key in {capture_key(url) for url in batch.column(0).to_pylist()}:
+                at = bisect_left(lasts, key)
+                while at < len(firsts) and firsts[at] <= key:
+                    found.append((*places[at], key))
+                    at += 1
+            columns = list(zip(*found, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.string()), strict=True)], ["shard", "block", "key"])
+
+    near = mapped(urls.select("url").distinct(), blocks_of, "shard int, block int, key string")
+    wanted = near.groupBy("shard", "block").agg(F.collect_set("key").alias("wanted"))
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/index").join(wanted, ["shard", "block"])
+    return read_captures(spark, path, index_lines(blocks, some=True))
