@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..storage import kept, removed, written
 
+#: Labels up to this number (about 50 bytes each) are broadcast; more are joined by shuffles.
+BROADCAST_ROWS = 100_000
+
 
 def components(edges: DataFrame, keys: list[str] | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """``*keys, vertex, comp`` for every vertex that has an edge; ``comp`` is the smallest vertex of its component.
@@ -20,17 +23,18 @@ def components(edges: DataFrame, keys: list[str] | None = None, src: str = "src"
     both = edges.select(*keys, F.col(src).alias("vertex"), F.col(dst).alias("other"))
     both = kept(both.unionByName(edges.select(*keys, F.col(dst).alias("vertex"), F.col(src).alias("other"))).distinct(), "edges")
     on = [*keys, "vertex"]
-    first = both.groupBy(*on).agg(F.least(F.min("other"), F.first("vertex")).alias("comp"))
-    schema, path = first.schema, written(first, "labels")
+    first, rows = both.groupBy(*on).agg(F.least(F.min("other"), F.first("vertex")).alias("comp")), Observation()
+    schema, path = first.schema, written(first.observe(rows, F.count("*").alias("n")), "labels")
+    few = F.broadcast if rows.get["n"] <= BROADCAST_ROWS else lambda df: df
     while True:
         labels = spark.read.schema(schema).parquet(path)
         other = labels.select(*keys, F.col("vertex").alias("other"), F.col("comp").alias("near"))
-        nearest = both.join(other, [*keys, "other"]).groupBy(*on).agg(F.min("near").alias("near"))
-        lowered = labels.join(nearest, on).select(*on, F.least("comp", "near").alias("low"), "comp")
+        nearest = both.join(few(other), [*keys, "other"]).groupBy(*on).agg(F.min("near").alias("near"))
+        lowered = nearest.join(few(labels), on).select(*on, F.least("comp", "near").alias("low"), "comp")
         passed = lowered.select(*on, "low", F.col("comp").alias("old")).unionByName(lowered.select(*keys, F.col("comp").alias("vertex"), "low", F.lit(None).alias("old")))
         hooked = passed.groupBy(*on).agg(F.min("low").alias("low"), F.max("old").alias("old"))
         root = hooked.select(*keys, F.col("vertex").alias("low"), F.col("low").alias("comp"))
-        jumped = hooked.join(root, [*keys, "low"]).select(*on, "comp", "old")
+        jumped = hooked.join(few(root), [*keys, "low"]).select(*on, "comp", "old")
         rows = Observation()
         following = written(jumped.observe(rows, F.count_if(F.col("comp") != F.col("old")).alias("changed")).drop("old"), "labels")
         removed(spark, path)
