@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tyche.llm import decontamination, ngram_join, quality, secrets
@@ -102,6 +103,8 @@ def near_copies(rng, words, families, size):
 @pytest.mark.parametrize("k, percent, group", [(4, 85, 2048), (5, 80, 8), (3, 60, 20)])
 def test_ngram_join(spark, k, percent, group, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "HOT", group)
+    monkeypatch.setattr(ngram_join, "SALTS", 3)
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 20_000)  # several blocks
     rng = random.Random(k)
     words = vocabulary(rng, 400)
@@ -119,11 +122,10 @@ def test_ngram_join(spark, k, percent, group, monkeypatch):
     assert found == brute_similar(rows, k, percent)
 
 
-def test_ngram_join_beyond_the_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BROADCAST_NODES", 0)
+def test_ngram_join_of_documents_without_id(spark):
     rng = random.Random(8)
     texts = near_copies(rng, vocabulary(rng, 200), 10, 60)
-    rows = [*enumerate(texts), (None, texts[0] + " end")]
+    rows = [*enumerate(texts), (None, texts[0] + " end"), (None, "nobody else has this text here"), (None, "nobody else has this text here now"), (3, texts[0])]
     assert sorted((tuple(r) for r in similar_components(table(spark, rows), 4, 85).collect()), key=str) == brute_similar(rows, 4, 85)
     assert similar_components(table(spark, [])).count() == 0
 
@@ -149,7 +151,8 @@ def test_sketches_only_rule_out():
         sets = [np.unique(np.concatenate([base[rng.integers(0, size // 3 + 1) :], rng.integers(0, 2**63, rng.integers(0, size // 3 + 1)).astype(np.uint64)])) for _ in range(30)]
         sets = [s for s in sets if len(s)]
         exact = ngram_join.similar_blocks(sets, sets, 80)
-        maybe = ngram_join.may_be_similar(np.array([len(s) for s in sets]), [ngram_join.sketch(s) for s in sets], 80)
+        items = pa.StructArray.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(ngram_join.sketch, sets), pa.binary())], ["node", "n", "data"])
+        maybe = ngram_join.may_be_similar(items, items, 80)
         assert (maybe | ~exact).all() and exact.diagonal().all()
         assert exact.tolist() == [[100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for b in sets] for a in sets]
 
@@ -281,7 +284,7 @@ def test_quality_learns_and_is_linear(spark):
     assert model.logit(at, x) == pytest.approx(model.bias + float(model.linear[at] @ x) + pairs, abs=1e-4)
 
 
-def test_quality_trains_on_all_features(spark, monkeypatch):
+def test_quality_trains_on_all_features(spark):
     rows = [(k, " ".join(f"word{chr(97 + k)}{chr(97 + n // 26 % 26)}{chr(97 + n % 26)}{chr(97 + n // 676)}" for n in range(1500))) for k in range(12)]
     docs, labels = table(spark, rows), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
     wanted = [quality.features(t) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
@@ -289,8 +292,7 @@ def test_quality_trains_on_all_features(spark, monkeypatch):
     assert len(found) == len(wanted) == len(marks) and len(found[0][0]) > 1400
     for (at, x, _), (known_at, known_x, _) in zip(found, wanted, strict=True):
         assert at.tolist() == known_at.tolist() and x.tolist() == known_x.tolist()
-    monkeypatch.setattr(quality, "SAMPLE_BYTES", sum(8 * len(r[0]) for r in wanted[:4]))
-    fewer, _ = quality.training_rows(docs, labels)
+    fewer, _ = quality.training_rows(docs, labels, sample_bytes=sum(8 * len(r[0]) for r in wanted[:4]))
     assert 3 <= len(fewer) <= 5 and all(len(r[0]) > 1400 for r in fewer)
 
 
@@ -351,17 +353,17 @@ def test_the_threshold_keeps_the_recall():
         shown.append(secrets.window(f"{draw('abc ', 15)} {token} {draw('abc ', 15)}", 16, 16 + len(token)))
         labels.append(int(k % 3 == 0))
     net = secrets.train(shown, np.array(labels))
-    assert (net.scores(shown) >= net.threshold)[np.array(labels) == 1].mean() >= 0.97
+    assert (net.scores(shown) >= net.threshold)[np.array(labels) == 1].mean() >= 0.97 and net.recall >= 0.99
 
 
 def test_long_candidates_are_read_to_their_end(spark, monkeypatch):
     class Digits:
-        threshold = 0.5
+        threshold = recall = 0.5
 
         def scores(self, windows):
             return np.array([sum(x == 128 + 6 for x in w) / 20 for w in windows])
 
-    monkeypatch.setattr(secrets, "train", lambda *_: Digits())
+    monkeypatch.setattr(secrets, "train", lambda *_, **__: Digits())
     path, key = "some/long/path/of/words/" * 4, "x1Y2" * 15
     part = "Q7" * 12 + "-0123456789abcdef-" + "Z8" * 12
     rows = [(1, f"see {path}{key}{path} there"), (2, f"see {part}."), (3, f"see {path} there"), (4, "see 0123456789abcdef0123456789abcdef."), (5, "token=x1Y2x1Y2x1Y2x1Y2x1Y2x1Y2 ")]
@@ -378,3 +380,54 @@ def test_windows_show_every_character():
     for n in range(16, 200):
         starts = secrets.window_starts(7, 7 + n)
         assert {x for s in starts for x in range(s, min(s + secrets.INSIDE, 7 + n))} == set(range(7, 7 + n)) and len(starts) == len(set(starts))
+
+
+def test_rows_of_a_near_copy_group_grow_with_its_size(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP", 16)
+    monkeypatch.setattr(ngram_join, "HOT", 8)
+    monkeypatch.setattr(ngram_join, "SALTS", 2)
+    rng = random.Random(15)
+    words = vocabulary(rng, 500)
+    base = rng.choices(words, k=100)
+    rows = []
+    for k in range(240):
+        copy = list(base)
+        for at in rng.sample(range(100), rng.randint(0, 4)):  # near the base, not always near each other
+            copy[at] = rng.choice(words)
+        rows.append((k, " ".join(copy)))
+    made: list[dict] = []
+    kept = ngram_join.kept
+
+    def counted(df, name):
+        found = kept(df, name)
+        made[-1][name] = made[-1].get(name, 0) + found.count()
+        return found
+
+    monkeypatch.setattr(ngram_join, "kept", counted)
+    for n in (120, 240):
+        made.append({})
+        found = sorted((tuple(r) for r in similar_components(table(spark, rows[:n]), 5, 80).collect()), key=str)
+        assert found == brute_similar(rows[:n], 5, 80)
+    grown = {name: (made[0].get(name, 0), many) for name, many in made[1].items() if many > 2.5 * made[0].get(name, 0) + 100}
+    assert not grown
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_places_ties_and_long_texts_of_leaks(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
+    rng = random.Random(16)
+    words = vocabulary(rng, 400)
+    item = [f"i{w}" for w in rng.sample(words, 30)]
+    filler = lambda n: rng.choices(words, k=n)
+    changed = [*item[:15], "other", *item[16:]]
+    docs = [
+        (1, [*filler(7), *item, *filler(3), *item]),  # twice: the first counts
+        (2, item[10:]),  # starts within the item
+        (3, [*filler(4), *changed, *filler(20), *item]),  # the better one counts
+        (4, [*filler(100_000), *item[:13]]),
+        (5, [*filler(50), *item[:12], "other", "words", *filler(5)]),  # 12 of 13 words
+        (6, [*filler(50), *item[:10], *filler(5)]),
+    ]
+    bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: (r.doc_pos, r.window_words, r.matched_words) for r in decontamination.contaminated(table(spark, [(k, " ".join(w)) for k, w in docs]), bench, every=True).collect()}
+    assert found == {1: (7, 13, 30), 2: (-10, 13, 20), 3: (54, 13, 30), 4: (100_000, 13, 13), 5: (50, 12, 12)}
