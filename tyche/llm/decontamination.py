@@ -25,7 +25,7 @@ MASKS = (((0, 3), (6, 2)), ((0, 3), (9, 2)), ((0, 3), (3, 2)))
 STRIDE, WINDOW, SUBS = 3, 13, 2
 #: Items of fewer words are not looked for, unless all are wanted.
 SHORTEST = 5
-#: Test hashes up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
+#: Test hashes, and hits, up to this number (24 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -106,17 +106,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, every: bool = False) ->
     texts = docs.select("doc_id", words(F.col("text")).alias("words"))
     lengths = sorted({size for n, subs in sizes.items() for _, size in runs(n, subs)})
     hashes = F.concat(seeds(F.col("words"), STRIDE), run_seeds(F.col("words"), lengths)) if lengths else seeds(F.col("words"), STRIDE)
-    trained = texts.select("doc_id", "words", F.explode(hashes).alias("at")).select("doc_id", "words", F.col("at.pos").alias("pos"), F.col("at.seed").alias("seed"))
+    # Rows of seeds carry no words, so a text takes rows in proportion to its length.
+    trained = texts.select("doc_id", F.explode(hashes).alias("at")).select("doc_id", F.col("at.pos").alias("pos"), F.col("at.seed").alias("seed"))
     shift = (F.col("pos") - F.col("item_pos")).alias("doc_pos")
-    if few:
-        # Hashes are looked up where they are made; only hits carry on the words around them.
-        longest = items.agg(F.max(F.size("item"))).first()[0] or WINDOW
-        start = F.greatest(F.lit(0), shift)
-        hits = trained.join(F.broadcast(tests), "seed").select("doc_id", "item_id", shift, (shift - start).alias("offset"), F.slice("words", start + 1, F.lit(longest)).alias("words"))
-        hits = hits.dropDuplicates(["doc_id", "item_id", "doc_pos", "words"])
-    else:
-        found = trained.drop("words").join(tests, "seed").select(F.col("doc_id").alias("hit_id"), "item_id", shift).distinct()
-        hits = found.join(texts, found.hit_id.eqNullSafe(texts.doc_id)).withColumn("offset", F.col("doc_pos"))
+    found = kept(trained.join(F.broadcast(tests) if few else tests, "seed").select(F.col("doc_id").alias("hit_id"), "item_id", shift).distinct(), "hits")
+    around = found.count() <= BROADCAST_ROWS
+    longest = items.agg(F.max(F.size("item"))).first()[0] or WINDOW
+    start = F.greatest(F.lit(0), F.col("doc_pos"))
+    hits = texts.join(F.broadcast(found) if around else found, texts.doc_id.eqNullSafe(found.hit_id))
+    hits = hits.select("doc_id", "item_id", "doc_pos", (F.col("doc_pos") - start).alias("offset"), F.slice("words", start + 1, F.lit(longest)).alias("words"))
     best, total = aligned(F.col("words"), F.col("item"), F.col("offset"), WINDOW, SUBS)
     least = F.lit(WINDOW)
     for n, subs in sizes.items():
