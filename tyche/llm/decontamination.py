@@ -33,6 +33,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
 
+def hashed(tokens: Column) -> Column:
+    """Each word's hash: what seeds are made of, so that a word is read once."""
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
 def hashed_at(starts: Column, name: str, seed: Callable[[Column], Column]) -> Column:
     """``array<struct<name, seed>>`` for each of ``starts``; empty for none."""
     found = F.transform(starts, lambda i: F.struct(i.alias(name), seed(i).alias("seed")))
@@ -46,7 +51,7 @@ def seeds(tokens: Column, stride: int) -> Column:
         runs = MASKS[number]
         last = F.size(tokens) - (runs[-1][0] + runs[-1][1])
         starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride)))
-        return hashed_at(starts, "pos", lambda i: F.xxhash64(F.lit(number), *(F.slice(tokens, i + 1 + at, F.lit(n)) for at, n in runs)))
+        return hashed_at(starts, "pos", lambda i: F.xxhash64(F.lit(number), *(F.get(tokens, i + at + k) for at, n in runs for k in range(n))))
 
     return F.concat(*map(masked, range(len(MASKS))))
 
@@ -93,26 +98,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, every: bool = False) ->
     found. Null and empty texts leak nothing; null ids are reported as such; repeated rows of a document or item give
     one pair; other columns are not read; an empty table on either side gives an empty result.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("item")).distinct()
+    items = benchmark.select("item_id", words(F.col("text")).alias("item")).distinct().withColumn("codes", hashed(F.col("item")))
     long_items = items.filter(F.size("item") >= WINDOW)
     short_items = items.filter((F.size("item") >= (1 if every else SHORTEST)) & (F.size("item") < WINDOW))
     sizes = {r.n: allowed(r.n) if every else 0 for r in short_items.select(F.size("item").alias("n")).distinct().collect()}
-    tests = long_items.select("item_id", F.explode(seeds(F.col("item"), 1)).alias("at")).select("item_id", F.col("at.pos").alias("item_pos"), F.col("at.seed").alias("seed"))
+    tests = long_items.select("item_id", F.explode(seeds(F.col("codes"), 1)).alias("at")).select("item_id", F.col("at.pos").alias("item_pos"), F.col("at.seed").alias("seed"))
     for n, subs in sizes.items():
-        cut = F.array(*(F.struct(F.lit(at).alias("pos"), run_seed(F.col("item"), F.lit(at), size).alias("seed")) for at, size in runs(n, subs)))
+        cut = F.array(*(F.struct(F.lit(at).alias("pos"), run_seed(F.col("codes"), F.lit(at), size).alias("seed")) for at, size in runs(n, subs)))
         tests = tests.unionByName(short_items.filter(F.size("item") == n).select("item_id", F.explode(cut).alias("at")).select("item_id", F.col("at.pos").alias("item_pos"), F.col("at.seed").alias("seed")))
     tests = kept(tests, "seeds")
     few = tests.count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", words(F.col("text")).alias("words"))
+    codes = docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", hashed(F.col("words")).alias("codes"))
     lengths = sorted({size for n, subs in sizes.items() for _, size in runs(n, subs)})
-    hashes = F.concat(seeds(F.col("words"), STRIDE), run_seeds(F.col("words"), lengths)) if lengths else seeds(F.col("words"), STRIDE)
+    hashes = F.concat(seeds(F.col("codes"), STRIDE), run_seeds(F.col("codes"), lengths)) if lengths else seeds(F.col("codes"), STRIDE)
     # Rows of seeds carry no words, so a text takes rows in proportion to its length.
-    trained = texts.select("doc_id", F.explode(hashes).alias("at")).select("doc_id", F.col("at.pos").alias("pos"), F.col("at.seed").alias("seed"))
+    trained = codes.select("doc_id", F.explode(hashes).alias("at")).select("doc_id", F.col("at.pos").alias("pos"), F.col("at.seed").alias("seed"))
     shift = (F.col("pos") - F.col("item_pos")).alias("doc_pos")
     found = kept(trained.join(F.broadcast(tests) if few else tests, "seed").select(F.col("doc_id").alias("hit_id"), "item_id", shift).distinct(), "hits")
     around = found.count() <= BROADCAST_ROWS
     longest = items.agg(F.max(F.size("item"))).first()[0] or WINDOW
     start = F.greatest(F.lit(0), F.col("doc_pos"))
+    hit_ids = found.select("hit_id").distinct()
+    hit_docs = docs.join(F.broadcast(hit_ids) if around else hit_ids, docs.doc_id.eqNullSafe(hit_ids.hit_id), "left_semi")
+    texts = hit_docs.select("doc_id", words(F.col("text")).alias("words"))
     hits = texts.join(F.broadcast(found) if around else found, texts.doc_id.eqNullSafe(found.hit_id))
     hits = hits.select("doc_id", "item_id", "doc_pos", (F.col("doc_pos") - start).alias("offset"), F.slice("words", start + 1, F.lit(longest)).alias("words"))
     best, total = aligned(F.col("words"), F.col("item"), F.col("offset"), WINDOW, SUBS)
@@ -120,7 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, every: bool = False) ->
     for n, subs in sizes.items():
         least = F.when(F.size("item") == n, n - subs).otherwise(least)
     best = F.when(F.size("item") >= WINDOW, best).when(total >= least, total).otherwise(0)
-    looked_for = long_items.unionByName(short_items).withColumnRenamed("item_id", "known_id")
+    looked_for = long_items.unionByName(short_items).select(F.col("item_id").alias("known_id"), "item")
     compared = hits.join(looked_for, hits.item_id.eqNullSafe(looked_for.known_id))
     leaks = compared.select("doc_id", "item_id", "doc_pos", best.alias("window_words"), total.alias("matched_words"))
     ranked = F.struct("window_words", "matched_words", (-F.col("doc_pos")).alias("first"))
