@@ -410,7 +410,8 @@ def placed_features(docs: DataFrame, size: int, placed: DataFrame) -> DataFrame:
             rest = batch.select(range(2, batch.num_columns)).take(pa.array(wanted, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in wanted], pa.int64()), pa.array([sets[k].tobytes() for k in wanted], pa.binary()), *rest.columns], ["node", "data", *rest.schema.names])
 
-    named = docs.join(placed.filter("doc_id is not null"), "doc_id").select("text", "node", *columns)
+    # One shuffle of the texts, at every size: what is placed grows with the documents.
+    named = docs.join(placed.filter("doc_id is not null").hint("merge"), "doc_id").select("text", "node", *columns)
     named = mapped(named, run, "node long, data binary, scope long, part int, parts int, n long")
     # Documents without an id are found by their sets.
     unnamed = mapped(docs.filter("doc_id is null").select("text", F.lit(None).cast("long").alias("node")), run, "node long, data binary")
