@@ -248,18 +248,18 @@ def pack(cut: DataFrame, capacity: int = 2048, nodes: int = 6000) -> DataFrame:
     """
     spark = cut.sparkSession
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = sorted((r["length"], r["salt"], r["n"]) for r in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
-    histogram: dict[int, int] = {}
-    bases = []
-    for length, salt, n in counts:
-        bases.append((length, salt, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toArrow().sort_by([("length", "ascending"), ("salt", "ascending")])
+    lengths, many = (counts.column(c).to_numpy() for c in ("length", "n"))
+    known, first = np.unique(lengths, return_index=True)
+    before = np.append(0, np.cumsum(many))  # pieces before each row; from the first of its length on, its base
+    histogram = dict(zip(known.tolist(), np.diff(before[np.append(first, len(many))]).tolist(), strict=True))
+    bases = before[:-1] - before[first][np.searchsorted(known, lengths)]
     places: dict[int, list] = {}
     patterns = bin_completion(histogram, capacity, nodes)
     log.info("%s sequences; no packing has fewer than %s", sum(m for _, m in patterns), lower_bound(histogram, capacity))
     for length, *place in layout(patterns):
         places.setdefault(length, []).append(tuple(place))
-    base = spark.createDataFrame(bases, "length long, salt int, base long")
+    base = spark.createDataFrame(pa.table({"length": lengths, "salt": counts.column("salt"), "base": pa.array(bases, pa.int64())}))
     plan = spark.createDataFrame(list(places.items()), "length long, places array<struct<first_rank: long, first_bin: long, per_bin: long, at: long>>")
     numbered = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
     placed = (

@@ -80,7 +80,7 @@ class FactorisationMachine:
     def inputs(self, at: np.ndarray, x: np.ndarray, stats: list[float]) -> tuple[np.ndarray, np.ndarray]:
         """Words and one indicator for the bin of each statistic."""
         bins = [BUCKETS + k * BINS + int(np.searchsorted(e, s, "right")) for k, (e, s) in enumerate(zip(self.edges, stats, strict=True))]
-        return np.append(at, bins), np.append(x, np.full(len(bins), 0.5, np.float32))
+        return np.append(at, np.array(bins, at.dtype)), np.append(x, np.full(len(bins), 0.5, np.float32))
 
     def logit(self, at: np.ndarray, x: np.ndarray) -> float:
         v = self.factors[at] * x[:, None]
@@ -153,10 +153,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
         if total > sample_bytes:
             sample = sample.filter(order < F.struct(F.lit(r.place.hash).alias("hash"), F.lit(r.place.doc_id).alias("doc_id")))
             break
-    found = sample.collect()
-    found.sort(key=lambda r: (r.doc_id, bytes(r.at)))
-    rows = [(np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4"), np.frombuffer(r.stats, "<f4").tolist()) for r in found]
-    return rows, np.array([int(r.quality) for r in found])
+    found = sample.toArrow().sort_by("doc_id")  # its buffers hold the rows' features
+    rows = [(np.frombuffer(a.as_buffer(), "<i4"), np.frombuffer(x.as_buffer(), "<f4"), np.frombuffer(s.as_buffer(), "<f4").tolist()) for a, x, s in zip(*(found.column(c) for c in ("at", "x", "stats")), strict=True)]
+    return rows, found.column("quality").to_numpy().astype(np.int64)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
