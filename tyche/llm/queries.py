@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import lloyd, whole_vectors, with_inertia
 from .chat_format import conversation_digests, format_conversations
 from .decontamination import contaminated
 from .exact_dedup import exact_duplicates
+from .hard_negatives import mined
 from .ngram_join import similar_components
 from .packing import pack_documents
+from .pieces import decode_pieces, encode_pieces
 from .quality import quality_scores
 from .secrets import scan
 from .shared import fresh_path, kept, table
@@ -20,7 +23,7 @@ from .token_counts import count_tokens
 from .token_store import read_token_store, write_token_store
 from .warc import lookup, write_archives
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +79,44 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined(table(spark, sf_dir, "embeddings"), every=100, positives=5, negatives=10, least=30, most=90)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whole_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=64, dims=64)
+    found = with_inertia(*lloyd(vectors, k=16, rounds=3, seed=1))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECE_BPE)
+    found = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model), model)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_token_store, op3_secret_scan, op4_warc, op5_ngram_join, op6_quality_classifier, op7_chat_format, op8_decontamination, op9_exact_dedup, op10_token_counts,
+        op11_hard_negatives, op12_centroid_clustering, op13_sentencepiece,
     )
 }
 
+#: One round of Lloyd's in SQL: the nearest centroid of every vector, and the floors of the means.
+LLOYD_ROUND = """
+        a{n} AS (
+            SELECT rid, v.v, c, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - m.v[i]) * (v.v[i] - m.v[i])))::BIGINT AS d
+            FROM v, m{n} m QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1
+        ),
+        s{n} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY c, i),
+        m{next} AS (
+            SELECT c, coalesce(new, v) AS v FROM m{n}
+            LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS new FROM s{n} GROUP BY c) USING (c)
+        ),"""
+
 ORACLE: dict[str, str] = {
     "op4_warc": """
         WITH records AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -150,4 +184,31 @@ ORACLE: dict[str, str] = {
                doc_id = min(doc_id) OVER same AS kept, sha256(text) AS text_sha256
         FROM texts WINDOW same AS (PARTITION BY text)
     """,
+    "op11_hard_negatives": """
+        WITH base AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, v) = 1
+        ),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM base a JOIN base b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        ),
+        positives AS (SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER best::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scores n ON p.anchor_id = n.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+        WINDOW best AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER best <= 10
+    """,
+    "op12_centroid_clustering": f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        m0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM v QUALIFY c < 16),
+        {"".join(LLOYD_ROUND.format(n=n, next=n + 1) for n in range(4)).rstrip(",")}
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(m3.v, ',')) AS centroid_sha256
+        FROM a3 JOIN v USING (rid) JOIN m3 USING (c)
+    """,
 }
