@@ -36,7 +36,7 @@ def ids_of(file, texts, end):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "benchmark"):
+    for t in ("documents", "pages", "conversations", "benchmark", "embeddings"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     found, wanted = QUERIES[name](spark, SMALL), db.sql(ORACLE[name])
     columns = sorted(found.columns)
