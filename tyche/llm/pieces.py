@@ -33,8 +33,8 @@ from .token_counts import balanced
 
 #: What the library writes for a space.
 MARK = "▁"
-#: Pairs of pieces kept by a worker, and words.
-KEPT_PAIRS, KEPT_WORDS = 1_000_000, 600_000
+#: Pairs of pieces kept by a worker, parts of words, and words (some 230 bytes each).
+KEPT_PAIRS, KEPT_CORES, KEPT_WORDS = 300_000, 250_000, 1_000_000
 
 
 class PieceCoder:
@@ -65,7 +65,10 @@ class PieceCoder:
         #: The longest piece that a piece begins with, itself left out.
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if self.longest.exists(p[:n])), None) for p in self.longest.keys()}
         self.longest.make_automaton()
+        #: Neighbours that some piece holds; between other characters no merge takes place.
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.fits = Kept(self.fit, KEPT_PAIRS)
+        self.cores = Kept(self.core, KEPT_CORES)
         self.words = Kept(self.word, KEPT_WORDS)
 
     def merged(self, text: str) -> list[str]:
@@ -110,7 +113,7 @@ class PieceCoder:
             piece = longest[at] if at < len(text) else None
         return row
 
-    def word(self, text: str) -> bytes:
+    def core(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers."""
         row, known = self.row(text), self.ids
         try:
@@ -119,12 +122,24 @@ class PieceCoder:
             ids = ([known[p]] if p in known else [self.byte_ids[b] for b in p.encode("utf-8")] for p in row)
             return array("i", chain.from_iterable(ids)).tobytes()
 
+    def word(self, text: str) -> bytes:
+        """The same for a word without its first space mark, from the parts that no merge can join."""
+        text, inside = MARK + text, self.inside
+        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside]
+        if not cuts:
+            return self.core(text)
+        return b"".join([self.cores[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])])
+
     def encode(self, text: str) -> np.ndarray:
         """The ids that the library gives for ``text``, without begin and end."""
         if not text:
             return np.empty(0, "i4")
-        marked = MARK + text.replace(" ", MARK)
-        words = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+$", marked) if self.by_words else [marked]
+        if not self.by_words:
+            return np.frombuffer(self.core(MARK + text.replace(" ", MARK)), "i4")
+        if "  " in text or MARK in text or text[-1] == " ":
+            words = [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
+        else:
+            words = text.split(" ") if text[0] != " " else [MARK + w if not k else w for k, w in enumerate(text[1:].split(" "))]
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "i4")
 
 
@@ -170,7 +185,9 @@ def decode_pieces(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = library(model).decode
         for batch in batches:
-            texts = [decode(ids) if ids else "" for ids in batch.column(1).to_pylist()]
+            ids = batch.column(1)
+            whole, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            texts = [decode(x.tolist()) if len(x) else "" for x in np.split(whole, ends[:-1])] if len(ends) else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     out = StructType([StructField("id", encoded.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
