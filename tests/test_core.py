@@ -13,7 +13,7 @@ from tyche import storage
 from tyche.functions import chance
 from tyche.operators import clustering, evaluate, graph, greedy, guess, reliability, report, scores
 from tyche.operators.components import components
-from tyche.operators.worlds import Worlds, world_components, world_edges
+from tyche.operators.worlds import Worlds, world_bits, world_components, world_edges
 from tyche.sources import clusters as cs
 from tyche.sources import edges as es
 from tyche.sources import results
@@ -65,9 +65,9 @@ def test_closed_forms(spark):
     assert path[0] == 1 and path[10] == 0
     assert path[1] == pytest.approx(0.6, abs=0.03) and path[2] == pytest.approx(0.3, abs=0.03)
     assert triangle[11] == pytest.approx(0.4 + 0.6 * 0.16, abs=0.03)
-    alive = world_edges(edges, 0, r)
+    arcs = reliability.arcs_of(world_bits(edges, 0, 63)).cache()
     sources = spark.createDataFrame([(0,), (10,)], "vertex long")
-    by_depth = [{(x.source, x.vertex): x.probability for x in reliability.within_depth(alive, es.vertices_of(edges), sources, d, r).collect()} for d in (1, 2)]
+    by_depth = [{(x.source, x.vertex): x.probability for x in reliability.within_depth(arcs, es.vertices_of(edges), sources, d, r).collect()} for d in (1, 2)]
     assert by_depth[0][0, 2] == 0 and by_depth[0][10, 11] == pytest.approx(0.4, abs=0.03)
     assert by_depth[1][0, 2] == path[2] and by_depth[1][10, 11] == triangle[11]
     assert all(by_depth[0][k] <= by_depth[1][k] for k in by_depth[0])
@@ -135,10 +135,10 @@ def test_hits_are_kept_and_added_to(spark, two_cliques):
     w.hits(some), w.hits(some, depth=2)
     w.grow(50)
     assert rows(w.hits(more)) == rows(reliability.source_hits(w.components(), more, 0, 50))
-    limited = {(r.source, r.vertex): r.probability for r in reliability.within_depth(w.alive(), w.vertices, more, 2, 50).collect()}
+    limited = {(r.source, r.vertex): r.probability for r in reliability.within_depth(w.arcs(), w.vertices, more, 2, 50).collect()}
     assert {k: n / 50 for k, n in rows(w.hits(more, depth=2)).items()} == {k: p for k, p in limited.items() if p}
     targets = spark.createDataFrame([(6,), (8,)], "vertex long")
-    assert {(r.source, r.vertex): r.probability for r in reliability.within_depth(w.alive(), w.vertices, more, 2, 50, targets).collect()} == {k: p for k, p in limited.items() if k[1] in (6, 8)}
+    assert {(r.source, r.vertex): r.probability for r in reliability.within_depth(w.arcs(), w.vertices, more, 2, 50, targets).collect()} == {k: p for k, p in limited.items() if k[1] in (6, 8)}
     with pytest.raises(NotImplementedError, match="bounded"):
         reliability.set_reliability(w.components(), targets.withColumn("set_id", F.lit(1)), 50, depth=2)
     assert reliability.qualifying(reliability.from_source(w.components(), 0, 50), 0.9) >= 1

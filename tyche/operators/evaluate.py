@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.clusters import read_clusters
+from ..sources.edges import pairs_within
 
 
 def same_cluster_pairs(clusters: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -24,26 +25,51 @@ def overlapping(clusters: DataFrame, keys: tuple[str, ...] = ()) -> bool:
     return not clusters.groupBy(*keys, "member").agg(F.count_distinct("cluster_id").alias("n")).filter("n > 1").isEmpty()
 
 
+def member_classes(clusters: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``*keys, member, ids``: the clusters of each member, in order."""
+    return clusters.groupBy(*keys, "member").agg(F.array_sort(F.collect_set("cluster_id")).alias("ids"))
+
+
+def overlapping_pairs(classes: DataFrame, keys: tuple[str, ...] = (), also: str | None = None) -> DataFrame:
+    """``*keys, made``: the pairs of members that share a cluster, each once.
+
+    ``classes`` is ``*keys, ids, n``: how many members are in just the clusters ``ids``. No pair of members is listed,
+    only pairs of classes, each under the smallest cluster that both are in. With ``also``, the name of a further
+    column of ids, members of a pair must also share one of these.
+    """
+    shared = ["ids", *([also] if also else [])]
+    some = classes.select(*keys, *shared, "n").filter(" and ".join(f"size({c}) > 0" for c in shared))
+    within = some.select(*keys, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("made"))
+    row = F.struct(*shared)
+    each = some.select(*keys, F.explode("ids").alias("cluster"), row.alias("class"), "n")
+    pairs = pairs_within(each, [*keys, "cluster"], "class").filter(F.col("cluster") == F.array_min(F.array_intersect("l.class.ids", "r.class.ids")))
+    if also:
+        pairs = pairs.filter(F.arrays_overlap(f"l.class.{also}", f"r.class.{also}"))
+    across = pairs.select(*keys, (F.col("l.n") * F.col("r.n")).alias("made"))
+    return within.unionByName(across).groupBy(*keys).agg(F.coalesce(F.sum("made"), F.lit(0)).cast("long").alias("made"))
+
+
 def confusion_matrix(actual: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``*keys, tp, fp, fn, tn, tpr, fpr, fnr, tnr`` of each clustering in ``actual`` against one ``truth``.
 
     Only pairs of names that the truth knows count; its names include those of single-member clusters. Pairs are
-    counted by the sizes of clusters and of what they share; only where clusters overlap are they listed.
+    counted by the sizes of clusters and of what they share, or, where clusters overlap, by the members of the same clusters.
     """
     names = truth.select("member").distinct()
     own = actual.join(names, "member", "left_semi").select(*keys, "cluster_id", "member").distinct()
     if overlapping(own, keys) or overlapping(truth):
-        wanted = same_cluster_pairs(truth)
-        judged = same_cluster_pairs(own, keys).join(wanted.withColumn("hit", F.lit(True)), ["a", "b"], "left")
-        counts = judged.groupBy(*keys).agg(F.count("hit").alias("tp"), F.count("*").alias("found"))
-        pairs = wanted.agg(F.count("*").alias("pairs"))
+        truly = member_classes(truth).withColumnRenamed("ids", "truly")
+        both = member_classes(own, keys).join(truly, "member").groupBy(*keys, "ids", "truly").agg(F.count("*").alias("n"))
+        hits = overlapping_pairs(both, keys, "truly").withColumnRenamed("made", "tp")
+        found = overlapping_pairs(both.groupBy(*keys, "ids").agg(F.sum("n").alias("n")), keys).withColumnRenamed("made", "found")
+        pairs = overlapping_pairs(truly.groupBy(F.col("truly").alias("ids")).agg(F.count("*").alias("n"))).withColumnRenamed("made", "pairs")
     else:
         truly = truth.select(F.col("cluster_id").alias("true_id"), "member").distinct()
         shared = own.join(truly, "member").groupBy(*keys, "cluster_id", "true_id").agg(F.count("*").alias("size"))
         sizes = own.groupBy(*keys, "cluster_id").agg(F.count("*").alias("size"))
         hits, found = made_pairs(shared, *keys).withColumnRenamed("made", "tp"), made_pairs(sizes, *keys).withColumnRenamed("made", "found")
-        counts = hits.join(found, list(keys)) if keys else hits.crossJoin(found)  # one row each
         pairs = made_pairs(truly.groupBy("true_id").agg(F.count("*").alias("size"))).withColumnRenamed("made", "pairs")
+    counts = found.join(hits, list(keys), "left").fillna(0, "tp") if keys else hits.crossJoin(found)  # one row each
     counts = counts.withColumn("fp", F.col("found") - F.col("tp")).drop("found")
     if keys:
         every = actual.select(*keys).distinct()
@@ -71,7 +97,8 @@ def pair_counts(clusters: DataFrame) -> DataFrame:
     summed = made_pairs(sizes).withColumnRenamed("made", "summed_pairs")
     if not overlapping(clusters):
         return summed.select(F.col("summed_pairs").alias("distinct_pairs"), "summed_pairs")
-    return same_cluster_pairs(clusters).agg(F.count("*").alias("distinct_pairs")).crossJoin(summed)  # one row each
+    classes = member_classes(clusters).groupBy("ids").agg(F.count("*").alias("n"))
+    return overlapping_pairs(classes).withColumnRenamed("made", "distinct_pairs").crossJoin(summed)  # one row each
 
 
 def cluster_members(clustering: DataFrame) -> DataFrame:

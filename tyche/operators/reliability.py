@@ -5,11 +5,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import kept
 
+#: Worlds whose edges, or whose reached vertices, are the bits of one number.
+BITS = 64
+
 
 def from_source(comps: DataFrame, source: int, r: int, targets: DataFrame | None = None) -> DataFrame:
     """``vertex, probability`` of a connection with ``source``, zeros included; only ``targets`` if given."""
@@ -68,27 +71,45 @@ def average_connection_probability(comps: DataFrame, n: int, r: int) -> DataFram
     return sizes.agg((F.sum(F.col("size") * F.col("size")) / F.lit(r) / pairs).alias("avg_conn_prob"), (F.sum(F.col("size") * (F.col("size") - 1)) / F.lit(r) / pairs).alias("avg_pair_prob"))
 
 
-def depth_hits(alive: DataFrame, sources: DataFrame, depth: int, stop: int) -> DataFrame:
-    """``source, vertex, hits``: worlds ``first .. stop - 1`` of each of ``sources(source, first)`` with a path of at most ``depth`` edges.
+def arcs_of(bits: DataFrame) -> DataFrame:
+    """``block, a, b, bits`` of ``block, src, dst, bits``, each edge both ways."""
+    there = bits.select("block", F.col("src").alias("a"), F.col("dst").alias("b"), "bits")
+    return there.unionByName(bits.select("block", F.col("dst").alias("a"), F.col("src").alias("b"), "bits"))
 
-    ``alive`` is ``world, src, dst``. One step of breadth-first search over all worlds and sources at a time.
-    """
-    arcs = kept(alive.select("world", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(alive.select("world", F.col("dst").alias("a"), F.col("src").alias("b"))), "arcs")
-    worlds = F.explode(F.sequence(F.col("first").cast("long"), F.lit(stop - 1).cast("long")))
-    frontier = seen = kept(sources.filter(F.col("first") < stop).select("source", F.col("source").alias("vertex"), worlds.alias("world")), "seen")
-    for _ in range(depth):
-        step = frontier.join(arcs, (frontier.world == arcs.world) & (frontier.vertex == arcs.a)).select("source", F.col("b").alias("vertex"), frontier.world)
-        frontier = kept(step.distinct().join(seen, ["source", "vertex", "world"], "left_anti"), "frontier")
-        seen = seen.unionByName(frontier)
-    return seen.groupBy("source", "vertex").agg(F.count("*").alias("hits"))
 
+def depth_hits(arcs: DataFrame, sources: DataFrame, depth: int, stop: int) -> DataFrame:
+    """``source, vertex, hits``: worlds ``first .. stop - 1`` of each of ``sources(source, first)`` with a path of at most ``depth`` edges.
 
-def within_depth(alive: DataFrame, vertices: DataFrame, sources: DataFrame, depth: int, r: int, targets: DataFrame | None = None) -> DataFrame:
+    ``arcs`` is ``block, a, b, bits``, the worlds of a block in which an edge exists as the bits of one number. A step of
+    breadth-first search takes all worlds of a block at once: whoever is reached over an edge is so in the worlds of both.
+    """
+    blocks = F.explode(F.sequence(F.floor(F.col("first") / BITS), F.lit((stop - 1) // BITS).cast("long")))
+    start = sources.filter(F.col("first") < stop).select("source", F.col("source").alias("vertex"), "first", blocks.alias("block"))
+    own = mask(F.greatest(F.lit(0), F.col("first") - F.col("block") * BITS), F.least(F.lit(BITS), stop - F.col("block") * BITS))
+    state = start.select("source", "vertex", "block", own.alias("seen"), own.alias("fresh"))
+    for step in range(depth):
+        state = kept(state, "reached") if step else state
+        front = state.filter("fresh != 0").select("source", F.col("vertex").alias("a"), "block", "fresh")
+        reached = front.join(arcs, ["block", "a"]).select("source", F.col("b").alias("vertex"), "block", F.lit(0).cast("long").alias("seen"), F.col("fresh").bitwiseAND(F.col("bits")).alias("got")).filter("got != 0")
+        both = state.select("source", "vertex", "block", "seen", F.lit(0).cast("long").alias("got")).unionByName(reached)
+        merged = both.groupBy("source", "vertex", "block").agg(F.bit_or("seen").alias("seen"), F.bit_or("got").alias("got"))
+        state = merged.select("source", "vertex", "block", F.col("seen").bitwiseOR(F.col("got")).alias("seen"), F.col("got").bitwiseAND(F.bitwise_not("seen")).alias("fresh"))
+    return state.groupBy("source", "vertex").agg(F.sum(F.bit_count("seen")).cast("long").alias("hits"))
+
+
+def mask(first: Column, stop: Column) -> Column:
+    """A number whose bits ``first`` to ``stop - 1`` are set, of 64."""
+    ones = F.lit(-1).cast("long")
+    upto = F.when(stop <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", ones, (BITS - stop).cast("int")))
+    return upto.bitwiseAND(F.when(first >= BITS, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", ones, first.cast("int"))))
+
+
+def within_depth(arcs: DataFrame, vertices: DataFrame, sources: DataFrame, depth: int, r: int, targets: DataFrame | None = None) -> DataFrame:
     """``source, vertex, probability`` of a path of at most ``depth`` edges, zeros included; only ``targets`` if given.
 
-    One row for each source and vertex: for few sources, as the caller sees to.
+    ``arcs`` as in :func:`depth_hits`. One row for each source and vertex: for few sources, as the caller sees to.
     """
-    hits = depth_hits(alive, sources.select(F.col("vertex").alias("source"), F.lit(0).alias("first")), depth, r)
+    hits = depth_hits(arcs, sources.select(F.col("vertex").alias("source"), F.lit(0).alias("first")), depth, r)
     aims = vertices.select("vertex") if targets is None else vertices.join(targets.select("vertex"), "vertex", "left_semi").select("vertex")
     every = aims.crossJoin(sources.select(F.col("vertex").alias("source")))  # the rows of the result
     return every.join(hits, ["source", "vertex"], "left").select("source", "vertex", (F.coalesce("hits", F.lit(0)) / F.lit(r)).alias("probability"))

@@ -1,7 +1,8 @@
 """Possible worlds: which edges exist, and the components of each world.
 
-Worlds are numbered; more worlds only ever append, and fewer are a prefix of the numbers. All worlds are one table,
-so a probability is a count over ``(world, comp)`` groups.
+Worlds are numbered; more worlds only ever append, and fewer are a prefix of the numbers. The edges of 64 worlds are
+one number for each edge, a bit for each world. The components of all worlds are one table, so a probability is a
+count over ``(world, comp)`` groups.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from ..functions.chance import fast_uniform, sample_count, uniform
 from ..sources.edges import vertices_of
 from ..storage import kept
 from .components import components
-from .reliability import added_hits, depth_hits, hits_since
+from .counts import CountStore
+from .reliability import BITS, arcs_of, depth_hits, hits_since
 
 log = logging.getLogger(__name__)
-#: Sources times worlds up to this number (24 bytes each) are broadcast.
+#: Sources times worlds up to this number (24 bytes each) are broadcast; more worlds are counted range by range.
 BROADCAST_ROWS = 1_000_000
+#: Sources whose connections are counted in one job.
+SOURCES = 10_000
 
 
 def world_edges(edges: DataFrame, first: int, stop: int, seed: int = 42, fast: bool = False) -> DataFrame:
@@ -32,15 +36,42 @@ def world_edges(edges: DataFrame, first: int, stop: int, seed: int = 42, fast: b
     return each.filter(coin <= F.col("probability")).select("world", "src", "dst")
 
 
-def components_of(alive: DataFrame, vertices: DataFrame, first: int, stop: int) -> DataFrame:
-    """``world, vertex, comp`` for every vertex of worlds ``first`` to ``stop - 1``, whose edges are ``alive``."""
-    every = vertices.select("vertex", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(stop - 1).cast("long"))).alias("world"))
-    return every.join(components(alive, ["world"]), ["world", "vertex"], "left").select("world", "vertex", F.coalesce("comp", "vertex").alias("comp"))
+def world_bits(edges: DataFrame, first: int, stop: int, seed: int = 42, fast: bool = False) -> DataFrame:
+    """``block, src, dst, bits``: bit ``w`` of block ``b`` tells whether the edge exists in world ``64 b + w``.
+
+    For blocks ``first`` to ``stop - 1``, with the coins of :func:`world_edges`. Edges that exist in no world of a
+    block have no row; nothing is shuffled.
+    """
+    each = edges.select("src", "dst", "probability", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(stop - 1).cast("long"))).alias("block"))
+    toss = fast_uniform if fast else uniform
+
+    def add(bits, w):
+        coin = toss(F.lit(seed), F.col("block") * BITS + w, F.col("src"), F.col("dst"))
+        return F.when(coin <= F.col("probability"), bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.cast("int")))).otherwise(bits)
+
+    bits = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(BITS - 1).cast("long")), F.lit(0).cast("long"), add)
+    return each.select("block", "src", "dst", bits.alias("bits")).filter("bits != 0")
+
+
+def world_rows(bits: DataFrame, first: int, stop: int) -> DataFrame:
+    """``world, src, dst`` of worlds ``first`` to ``stop - 1`` from their bits."""
+    here = bits.filter(F.col("block").between(first // BITS, (stop - 1) // BITS))
+    set_ = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda w: F.call_function("shiftrightunsigned", F.col("bits"), w).bitwiseAND(F.lit(1).cast("long")) == 1)
+    rows = here.select("block", F.explode(set_).alias("bit"), "src", "dst")
+    return rows.select((F.col("block") * BITS + F.col("bit")).alias("world"), "src", "dst").filter(F.col("world").between(first, stop - 1))
+
+
+def components_of(alive: DataFrame, vertices: DataFrame, first: int, stop: int, most: int | None = None) -> DataFrame:
+    """``world, vertex, comp`` for every vertex of worlds ``first`` to ``stop - 1``, whose edges are ``alive``, at most ``most`` each."""
+    worlds = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(stop - 1).cast("long")))
+    every = vertices.select(worlds.alias("world"), F.col("vertex").alias("src"), F.col("vertex").alias("dst"))  # each joined with itself
+    return components(alive.select("world", "src", "dst").unionByName(every), ["world"], most=most)
 
 
 def world_components(edges: DataFrame, vertices: DataFrame, first: int, stop: int, seed: int = 42, fast: bool = False) -> DataFrame:
     """``world, vertex, comp`` for every vertex of every world."""
-    return components_of(kept(world_edges(edges, first, stop, seed, fast), "world-edges"), vertices, first, stop)
+    edges, vertices = kept(edges.select("src", "dst", "probability"), "edges"), kept(vertices.select("vertex"), "vertices")
+    return components_of(world_edges(edges, first, stop, seed, fast), vertices, first, stop, edges.count() + vertices.count())
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -54,7 +85,8 @@ def union(parts: list[DataFrame]) -> DataFrame:
 class Worlds:
     """A growing sample of the worlds of one graph; ``max_worlds`` caps it, and ``capped`` tells whether it did.
 
-    Edges, components and the connections of chosen sources are kept, and further worlds are added to each.
+    Edges, components and the connections of chosen sources are kept, and further worlds are added to each. Of the
+    connections at most ``max_counts`` rows stay for each depth (:class:`CountStore`).
     """
 
     edges: DataFrame
@@ -65,15 +97,20 @@ class Worlds:
     fraction: float = 0.1
     max_worlds: int = 50_000
     fast: bool = False
+    max_counts: int = 100_000_000
     count: int = 0
     capped: bool = False
-    _alive: list[tuple[int, int, DataFrame]] = field(default_factory=list)
+    _bits: list[DataFrame] = field(default_factory=list)
+    _arcs: list[DataFrame] = field(default_factory=list)
     _components: list[DataFrame] = field(default_factory=list)
-    _hits: dict[int | None, DataFrame] = field(default_factory=dict)
+    _blocks: int = 0
+    _joined: int = 0
+    _most: int | None = None
+    _hits: dict[int | None, CountStore] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.vertices = kept((self.vertices if self.vertices is not None else vertices_of(self.edges)).select("vertex"), "vertices")
         self.edges = kept(self.edges.select("src", "dst", "probability"), "edges")
+        self.vertices = kept((self.vertices if self.vertices is not None else vertices_of(self.edges)).select("vertex"), "vertices")
 
     def wanted(self, p: float) -> int:
         want = sample_count(p, self.epsilon, self.delta, self.fraction)
@@ -83,10 +120,12 @@ class Worlds:
         return max(1, min(want, self.max_worlds))
 
     def grow(self, count: int) -> None:
-        """Samples further worlds up to ``count``; those there stay as they are."""
-        if count > self.count:
-            self._alive.append((self.count, count, kept(world_edges(self.edges, self.count, count, self.seed, self.fast), "world-edges")))
-            self.count = count
+        """Samples further worlds up to ``count``, by whole blocks of 64; those there stay as they are."""
+        blocks = -(-count // BITS)
+        if blocks > self._blocks:
+            self._bits.append(kept(world_bits(self.edges, self._blocks, blocks, self.seed, self.fast), "world-bits"))
+            self._blocks = blocks
+        self.count = max(self.count, count)
 
     def reach(self, p: float) -> int:
         """Grows to what probability ``p`` asks for; returns the number of worlds there are."""
@@ -94,34 +133,49 @@ class Worlds:
         return self.count
 
     def alive(self, count: int | None = None) -> DataFrame:
-        """The edges of the first ``count`` worlds (all by default)."""
-        whole = union([part for _, _, part in self._alive])
-        return whole if count is None or count >= self.count else whole.filter(F.col("world") < count)
+        """``world, src, dst``: the edges of the first ``count`` worlds (all by default)."""
+        return world_rows(union(self._bits), 0, self.count if count is None else min(count, self.count))
+
+    def arcs(self) -> DataFrame:
+        """``block, a, b, bits``: the edges both ways, also of the last block's worlds beyond those asked for."""
+        for part in self._bits[len(self._arcs) :]:
+            self._arcs.append(kept(arcs_of(part), "arcs"))
+        return union(self._arcs)
 
     def components(self, count: int | None = None) -> DataFrame:
         """The components of the first ``count`` worlds (all by default)."""
-        for first, stop, part in self._alive[len(self._components) :]:
-            self._components.append(kept(components_of(part, self.vertices, first, stop), "components"))
+        if self._joined < self.count:
+            if self._most is None:
+                self._most = self.edges.count() + self.vertices.count()
+            alive = world_rows(union(self._bits), self._joined, self.count)
+            self._components.append(kept(components_of(alive, self.vertices, self._joined, self.count, self._most), "components"))
+            self._joined = self.count
         whole = union(self._components)
         return whole if count is None or count >= self.count else whole.filter(F.col("world") < count)
 
+    def counts(self, depth: int | None = None) -> CountStore:
+        return self._hits.setdefault(depth, CountStore(self.vertices.sparkSession, self.max_counts))
+
     def hits(self, sources: DataFrame, depth: int | None = None) -> DataFrame:
         """``source, vertex, hits``: in how many of the worlds each of ``sources(vertex)`` is connected with a vertex.
 
         With ``depth`` only paths of so many edges count. A source asked for again is looked up in later worlds alone.
+        The ids of the sources pass through the driver: a block of candidates, or the centers of a clustering.
         """
-        spark, asked = self.vertices.sparkSession, sources.select(F.col("vertex").alias("source"))
-        known = self._hits.get(depth)
-        if known is None:
-            known = spark.createDataFrame([], "source long, vertex long, hits long, upto int")
-        before = known.select("source", "upto").distinct()
-        asked = kept(asked.join(before, "source", "left").select("source", F.coalesce("upto", F.lit(0)).alias("first")), "sources")
-        few = asked.count() * self.count <= BROADCAST_ROWS
-        if depth is None:
-            new = hits_since(self.components(), asked, self.count, few)
-        else:
-            new = depth_hits(self.alive(), asked, depth, self.count)
-        mine = known.join(asked, "source", "left_semi").select("source", "vertex", "hits")
-        found = added_hits(mine, new).withColumn("upto", F.lit(self.count))
-        self._hits[depth] = kept(known.join(asked, "source", "left_anti").unionByName(found), "hits")
-        return self._hits[depth].join(asked, "source", "left_semi").select("source", "vertex", "hits")
+        return self.hits_of([r.vertex for r in sources.select("vertex").distinct().collect()], depth)
+
+    def hits_of(self, sources: list[int], depth: int | None = None) -> DataFrame:
+        """:meth:`hits` of a list of sources; good until the next call for the same depth."""
+        spark, store = self.vertices.sparkSession, self.counts(depth)
+        for first, missing in store.missing(sources, self.count).items():
+            for at in range(0, len(missing), SOURCES):
+                block = missing[at : at + SOURCES]
+                asked = lambda begin: spark.createDataFrame([(s, begin) for s in block], "source long, first int")  # noqa: B023, E731
+                if depth is not None:
+                    store.add(block, self.count, depth_hits(self.arcs(), asked(first), depth, self.count))
+                    continue
+                step = max(1, BROADCAST_ROWS // len(block))
+                for begin in range(first, self.count, step):
+                    stop = min(begin + step, self.count)
+                    store.add(block, stop, hits_since(self.components().filter(F.col("world").between(begin, stop - 1)), asked(begin), stop, True))
+        return store.read(sources)

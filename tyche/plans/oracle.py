@@ -266,14 +266,16 @@ ORACLE: dict[str, str] = {
         SELECT set_id, max(size) AS size, round(count(*) FILTER (whole) / {WORLDS}, 9) AS reliability FROM per GROUP BY set_id""",
     "avg_conn_prob": f"""{WITH_COMPONENTS}, sizes AS (SELECT count(*) AS s FROM components GROUP BY world, comp), n AS (SELECT count(*) AS n FROM vertices)
         SELECT round(sum(s * s) / {WORLDS} / max(n * (n - 1)), 9) AS avg_conn_prob, round(sum(s * (s - 1)) / {WORLDS} / max(n * (n - 1)), 9) AS avg_pair_prob FROM sizes, n""",
-    "sample_sizes": """SELECT p, floor(0.1::DOUBLE / (0.1::DOUBLE * 0.1::DOUBLE * p) * ln(1 / 0.01::DOUBLE))::BIGINT AS clustering, floor(1.0::DOUBLE / (0.1::DOUBLE * 0.1::DOUBLE * p) * ln(1 / 0.01::DOUBLE))::BIGINT AS scoring
-        FROM (VALUES (1.0::DOUBLE), (0.9), (0.5), (0.1), (0.01)) t(p)""",
+    "sample_sizes": f"""{WITH_GRAPH}
+        SELECT p, floor(0.1::DOUBLE / (0.1::DOUBLE * 0.1::DOUBLE * p) * ln(1 / 0.01::DOUBLE))::BIGINT AS clustering, floor(1.0::DOUBLE / (0.1::DOUBLE * 0.1::DOUBLE * p) * ln(1 / 0.01::DOUBLE))::BIGINT AS scoring
+        FROM (SELECT DISTINCT round(probability, 6) AS p FROM edges)""",
     "guess_trace": """WITH RECURSIVE
-        runs(guesser, lag, rate, valid_up_to) AS (VALUES ('exponential', 1, 0.1::DOUBLE, 0.3::DOUBLE), ('exponential', 1, 0.5, 0.3), ('exponential', 1, 0.1, 0.75), ('extended', 2, 0.1, 0.3)),
+        flags AS (SELECT l_returnflag AS flag, (count(*) FILTER (l_quantity >= 20) * 1000 // count(*)) / 1000 AS valid_up_to FROM lineitem GROUP BY ALL),
+        runs AS (SELECT * FROM flags, (VALUES ('exponential', 1, 0.1::DOUBLE), ('exponential', 1, 0.5), ('extended', 2, 0.1)) k(guesser, lag, rate)),
         made AS (
-            SELECT guesser, lag, rate, valid_up_to, 0 AS step, 1.0::DOUBLE AS guess, 1.0::DOUBLE AS low, 1.0::DOUBLE AS high, false AS halving FROM runs
+            SELECT flag, guesser, lag, rate, valid_up_to, 0 AS step, 1.0::DOUBLE AS guess, 1.0::DOUBLE AS low, 1.0::DOUBLE AS high, false AS halving FROM runs
             UNION ALL
-            SELECT guesser, lag, rate, valid_up_to, step + 1, CASE WHEN h THEN (l + u) / 2 ELSE l END, l, u, h FROM (
+            SELECT flag, guesser, lag, rate, valid_up_to, step + 1, CASE WHEN h THEN (l + u) / 2 ELSE l END, l, u, h FROM (
                 SELECT *, guess <= valid_up_to AS ok,
                        CASE WHEN halving THEN CASE WHEN ok THEN guess ELSE low END WHEN ok THEN low ELSE greatest(1 - rate * 2 ** step, 0.0001) END AS l,
                        CASE WHEN halving THEN CASE WHEN ok THEN high ELSE guess END WHEN ok THEN high
@@ -283,10 +285,10 @@ ORACLE: dict[str, str] = {
             ) WHERE NOT (h AND 1 - l / u <= rate)
         ),
         falling AS (
-            SELECT 'geometric' AS guesser, 0.5::DOUBLE AS rate, 0.2::DOUBLE AS valid_up_to, 0 AS step, 1.0::DOUBLE AS guess
-            UNION ALL SELECT guesser, rate, valid_up_to, step + 1, guess * rate FROM falling WHERE guess > valid_up_to AND guess * rate >= 0.0001
+            SELECT flag, 'geometric' AS guesser, 0.5::DOUBLE AS rate, valid_up_to, 0 AS step, 1.0::DOUBLE AS guess FROM flags
+            UNION ALL SELECT flag, guesser, rate, valid_up_to, step + 1, guess * rate FROM falling WHERE guess > valid_up_to AND guess * rate >= 0.0001
         )
-        SELECT guesser, rate, valid_up_to, step, round(guess, 9) AS guess FROM made UNION ALL SELECT guesser, rate, valid_up_to, step, round(guess, 9) FROM falling""",
+        SELECT flag, guesser, rate, valid_up_to, step, round(guess, 9) AS guess FROM made UNION ALL SELECT flag, guesser, rate, valid_up_to, step, round(guess, 9) FROM falling""",
     "assign_fixed_centers": f"{WITH_FIXED} SELECT vertex, center, is_center, round(probability, 9) AS probability FROM fixed",
     "cluster_rebuild": f"""{WITH_FIXED} SELECT f.vertex, f.center, f.vertex = f.center AS is_center, round(count(*) FILTER (c.comp = d.comp) / {WORLDS}, 9) AS probability
         FROM fixed f JOIN components c ON c.vertex = f.vertex JOIN components d ON d.vertex = f.center AND d.world = c.world GROUP BY ALL""",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import chance
 from ..operators import clustering as cl
 from ..operators import evaluate, graph, greedy, guess, reliability, report, scores
-from ..operators.worlds import Worlds, world_components, world_edges
+from ..operators.worlds import Worlds, world_bits, world_components, world_edges
 from ..sources import clusters as cs
 from ..sources import edges as es
 from ..sources import results
@@ -228,7 +228,8 @@ def depth_query(spark, sf_dir, depth):
     edges = kept(suppliers(spark, sf_dir), "edges")
     vertices = kept(es.vertices_of(edges), "vertices")
     source = vertices.orderBy("vertex").limit(1)
-    return rounded(reliability.within_depth(world_edges(edges, 0, WORLDS, SEED), vertices, source, depth, WORLDS).select("vertex", "probability"))
+    arcs = kept(reliability.arcs_of(world_bits(edges, 0, -(-WORLDS // reliability.BITS), SEED)), "arcs")
+    return rounded(reliability.within_depth(arcs, vertices, source, depth, WORLDS).select("vertex", "probability"))
 
 
 @query
@@ -255,16 +256,20 @@ def avg_conn_prob(spark, sf_dir):
 
 @query
 def sample_sizes(spark, sf_dir):
-    thresholds = spark.createDataFrame([(1.0,), (0.9,), (0.5,), (0.1,), (0.01,)], "p double")
+    """For each probability that an edge has."""
+    thresholds = suppliers(spark, sf_dir).select(F.round("probability", 6).alias("p")).distinct()
     return thresholds.select("p", chance.sample_count_column(F.col("p")).alias("clustering"), chance.sample_count_column(F.col("p"), fraction=1.0).alias("scoring"))
 
 
 @query
 def guess_trace(spark, sf_dir):
-    made = [("exponential", 0.1, 0.3), ("exponential", 0.5, 0.3), ("exponential", 0.1, 0.75), ("extended", 0.1, 0.3), ("geometric", 0.5, 0.2)]
+    """Searches whose guesses are valid up to what the lines of each return flag say."""
+    kinds = [("exponential", 0.1), ("exponential", 0.5), ("extended", 0.1), ("geometric", 0.5)]
     start = {"exponential": guess.bisecting, "extended": lambda r, low: guess.bisecting(r, low, lag=2), "geometric": guess.geometric}
-    rows = [(kind, rate, valid, step, p) for kind, rate, valid in made for step, p in enumerate(guess.trace(start[kind](rate, 0.0001), valid))]
-    return rounded(spark.createDataFrame(rows, "guesser string, rate double, valid_up_to double, step int, guess double"))
+    line = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_quantity") >= 20).alias("some"), F.count("*").alias("n"))
+    valid = [(r.l_returnflag, r.some * 1000 // r.n / 1000) for r in line.collect()]  # one row for each flag
+    rows = [(flag, kind, rate, upto, step, p) for flag, upto in valid for kind, rate in kinds for step, p in enumerate(guess.trace(start[kind](rate, 0.0001), upto))]
+    return rounded(spark.createDataFrame(rows, "flag string, guesser string, rate double, valid_up_to double, step int, guess double"))
 
 
 # --- clusterings

@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.chance import cooccurrence_probability
-from ..storage import kept
+from ..storage import fresh_path, kept
+
+#: Rows of a group that are paired in one task; larger groups are cut into parts.
+PART_ROWS = 1000
+#: Records that one task parses, at most, after a compressed dump has been cut at their ends.
+CHUNK_RECORDS = 50_000
 
 
 @dataclass(frozen=True)
@@ -99,11 +104,26 @@ def write_edge_list(graph: Graph, path: str) -> None:
     graph.edges.join(a, "src").join(b, "dst").select(F.concat_ws(" ", "a", "b", F.col("probability").cast("string"))).write.text(path)
 
 
+def pairs_within(rows: DataFrame, group: list[str], key: str, most: int = PART_ROWS) -> DataFrame:
+    """``*group, l, r``: every two rows of a group once, as structs of the other columns; ``key`` names a row of a group.
+
+    A group of over ``most`` rows is cut into parts by the hash of ``key``, and each two parts, or a part with itself,
+    are joined under a key of their own: the pairs of a large group are dealt to as many tasks as it has pairs of parts.
+    """
+    large = rows.groupBy(*group).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    row = F.struct(*(c for c in rows.columns if c not in group))
+    placed = rows.join(large, group, "left").select(*group, row.alias("row"), parts.alias("parts"), F.pmod(F.xxhash64(key), parts).cast("int").alias("part"))
+    left = placed.select(*group, F.col("part").alias("p"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("q"), F.col("row").alias("l"))
+    right = placed.select(*group, F.explode(F.sequence(F.lit(0), F.col("part"))).alias("p"), F.col("part").alias("q"), F.col("row").alias("r"))
+    return left.join(right, [*group, "p", "q"]).filter((F.col("p") < F.col("q")) | (F.col("l")[key] < F.col("r")[key])).select(*group, "l", "r")
+
+
 def cooccurrence_edges(items: DataFrame, group: str, member: str) -> DataFrame:
     """``src, dst, cnt, probability`` for members that share groups, each pair once with ``src < dst``."""
     distinct = items.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
-    left, right = distinct.withColumnRenamed("m", "src"), distinct.withColumnRenamed("m", "dst")
-    counts = left.join(right, "g").filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("cnt"))
+    pairs = pairs_within(distinct, ["g"], "m").select(F.least("l.m", "r.m").alias("src"), F.greatest("l.m", "r.m").alias("dst"))
+    counts = pairs.groupBy("src", "dst").agg(F.count("*").alias("cnt"))
     return counts.withColumn("probability", cooccurrence_probability(F.col("cnt")))
 
 
@@ -122,5 +142,21 @@ def read_xml_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", tag).load(path)
 
 
+def read_packed_xml_records(spark: SparkSession, path: str, tag: str, records: int = CHUNK_RECORDS) -> DataFrame:
+    """The records of a dump that is one compressed stream, as :func:`read_xml_records` gives them, parsed by many tasks.
+
+    A stream has to be read from its start, so one task cuts it at the ends of records into rows of one record and its
+    position; these are written as files of about ``records`` lines, in order of position, which are then parsed apart.
+    Line ends within a record are written as references, so that a record is a line.
+    """
+    end = f"</{tag}>"
+    rows = spark.read.option("lineSep", end).text(path).select(F.monotonically_increasing_id().alias("position"), "value")
+    record = F.concat(F.regexp_extract("value", rf"(?s)<{tag}[\s>].*\z", 0), F.lit(end))
+    cut = kept(rows.select("position", F.replace(F.replace(record, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("&#10;")).alias("value")).filter(F.col("value") != end), "records")
+    files, folder = max(1, -(-cut.count() // records)), fresh_path(spark, "xml")
+    cut.repartitionByRange(files, "position").sortWithinPartitions("position").select("value").write.text(folder)
+    return spark.read.format("xml").option("rowTag", tag).option("multiLine", False).load(folder)
+
+
 def person_name(author: Column) -> Column:
     return F.replace(author, F.lit(" "), F.lit("_"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..storage import fresh_path
+from ..storage import fresh_path, kept, removed
 
 
 def finite(df: DataFrame, name: str) -> Column:
@@ -17,28 +20,78 @@ def finite(df: DataFrame, name: str) -> Column:
     return (F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c) if kind in ("double", "float") else c).alias(name)
 
 
-def save_run(path: str, tags: dict[str, object], tables: dict[str, DataFrame], date: str | None = None) -> None:
-    """Writes one bzip2 document ``{date, tags, tables: {name: [row, ...]}}``.
+def save_run(folder: str, tags: dict[str, object], tables: dict[str, DataFrame], date: str | None = None) -> str:
+    """Writes one document ``{date, tags, tables: {name: [row, ...]}}`` into ``folder`` and returns its path.
 
-    A document is one JSON value, so its rows are gathered into it: for summaries and clusterings of one graph.
-    Non-finite numbers become null.
+    The file is named ``<date>-<nonce>.json.bz2`` (the date without ``:``, which file systems refuse). Rows keep their
+    order; numbers that are not finite become null.
     """
-    spark = next(iter(tables.values())).sparkSession
-    doc = spark.range(1).select(F.lit(date or datetime.now(timezone.utc).isoformat()).alias("date"), F.struct(*(F.lit(v).alias(k) for k, v in tags.items())).alias("tags"))
-    for name, df in tables.items():
-        rows = df.agg(F.collect_list(F.struct(*(finite(df, c) for c in df.columns))).alias(name))
-        doc = doc.crossJoin(rows)  # one row each
-    doc.select("date", "tags", F.struct(*(F.col(f"`{c}`") for c in tables)).alias("tables")).coalesce(1).write.option("compression", "bzip2").json(path)
+    date = date or datetime.now(timezone.utc).isoformat(timespec="seconds")
+    path = f"{folder.rstrip('/')}/{date.replace(':', '')}-{uuid.uuid4().hex[:8]}.json.bz2"
+    write_document(path, json.dumps(date), json.dumps(tags), tables)
+    return path
 
 
-def with_tables(spark: SparkSession, path: str, out: str, tables: dict[str, DataFrame]) -> None:
-    """The document at ``path`` with ``tables`` added (or put in place of its own), written to ``out``; ``path`` stays."""
-    doc = spark.read.option("multiLine", True).json(path)
-    old = [c for c in doc.select("tables.*").columns if c not in tables]
-    for name, df in tables.items():
-        doc = doc.crossJoin(df.agg(F.collect_list(F.struct(*(finite(df, c) for c in df.columns))).alias(name)))  # one row each
-    merged = F.struct(*(F.col(f"tables.`{c}`").alias(c) for c in old), *(F.col(f"`{c}`") for c in tables))
-    doc.select("date", "tags", merged.alias("tables")).coalesce(1).write.option("compression", "bzip2").json(out)
+def write_document(path: str, date: str, tags: str, tables: dict[str, DataFrame]) -> None:
+    """One JSON document at ``path`` from the JSON of its date and tags and the rows of its tables.
+
+    Every task compresses the lines of its own rows; a bzip2 file may consist of several such parts, so the file
+    system's streams append them to each other, and no task or driver holds more than a buffer of them.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    root, number = fresh_path(spark, "document"), 0
+
+    def put(lines: DataFrame) -> None:
+        nonlocal number
+        lines.write.option("compression", "bzip2").text(f"{root}/{number:04d}")
+        number += 1
+
+    text = lambda line: spark.createDataFrame([(line,)], "value string").coalesce(1)
+    put(text(f'{{"date": {date}, "tags": {tags}, "tables": {{'))
+    for nth, (name, df) in enumerate(tables.items()):
+        put(text(f"{',' if nth else ''}{json.dumps(name)}: ["))
+        row = F.to_json(F.struct(*(finite(df, c) for c in df.columns)), {"ignoreNullFields": "false"})
+        rows = kept(df.select(F.monotonically_increasing_id().alias("at"), row.alias("row")), "rows")
+        first = rows.agg(F.min("at")).first()[0]
+        comma = F.when(F.col("at") == first, "").otherwise(",")
+        put(rows.repartitionByRange("at").sortWithinPartitions("at").select(F.concat(comma, "row").alias("value")))
+        put(text("]"))
+    put(text("}}"))
+    append_files(spark, root, path)
+
+
+def append_files(spark: SparkSession, root: str, path: str) -> None:
+    """The files in the folders under ``root``, in order of their names, as one file at ``path``."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    source, target = place(root).getFileSystem(conf), place(path).getFileSystem(conf)
+    files = sorted(str(x.getPath()) for x in source.globStatus(place(f"{root}/*/part-*")))
+    unfinished = place(f"{root}-whole")
+    unfinished_fs = unfinished.getFileSystem(conf)
+    out = unfinished_fs.create(unfinished, False)
+    for file in files:
+        stream = source.open(place(file))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+        stream.close()
+    out.close()
+    target.mkdirs(place(path).getParent())
+    jvm.org.apache.hadoop.fs.FileUtil.copy(unfinished_fs, unfinished, target, place(path), True, False, conf)
+    removed(spark, root)
+
+
+def with_tables(spark: SparkSession, path: str, out: str, tables: dict[str, DataFrame]) -> str:
+    """The document at ``path`` with ``tables`` added (or put in place of its own), written to the folder ``out`` under its name.
+
+    Returns the new path; ``path`` stays.
+    """
+    doc = kept(spark.read.option("multiLine", True).json(path).withColumn("file", F.input_file_name()), "document")
+    known = [c for c in doc.select("tables.*").columns if c not in tables]
+    old = {name: doc.select(F.explode(F.col("tables")[name]).alias("row")) for name in known}
+    old = {name: rows.select("row.*") if isinstance(rows.schema["row"].dataType, StructType) else rows for name, rows in old.items()}  # else it has no rows
+    found = doc.select("file", F.to_json("tags").alias("tags"), F.col("date").cast("string").alias("date")).first()
+    target = f"{out.rstrip('/')}/{found.file.rsplit('/', 1)[-1].removesuffix('.bz2')}.bz2"
+    write_document(target, json.dumps(found.date), found.tags, old | tables)
+    return target
 
 
 def load_table(spark: SparkSession, paths: str | list[str], name: str) -> DataFrame:
@@ -85,7 +138,10 @@ def clustering_rows(clustering: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def cached_table(build, path: str, inputs: DataFrame):
-    """``build()`` kept as Parquet at ``path`` and built again once any input file is newer."""
+    """``build()`` kept as Parquet in the folder ``path`` and built again once any input file is newer.
+
+    A new table is written beside the old one and takes its place by renaming, so readers never see half of it.
+    """
     spark = inputs.sparkSession
     newest = inputs.select(F.max("_metadata.file_modification_time")).first()[0]
     try:
@@ -96,7 +152,11 @@ def cached_table(build, path: str, inputs: DataFrame):
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-    fresh = fresh_path(spark, "rebuilt")
+    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     build().write.parquet(fresh)
-    spark.read.parquet(fresh).write.mode("overwrite").parquet(path)
+    place, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(place, True)
+    if not files.rename(new, place):
+        raise OSError(f"{fresh} could not be renamed to {path}")
     return spark.read.parquet(path)
