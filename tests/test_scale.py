@@ -235,7 +235,8 @@ def dense_flow(edges, prune, rounds=60):
 
 
 def test_flow_is_that_of_the_dense_matrix(spark, monkeypatch):
-    monkeypatch.setattr(clustering, "HUB_USES", 6)  # some columns count as hubs
+    monkeypatch.setattr(clustering, "ROW_PART", 3)  # some rows are cut
+    monkeypatch.setattr(clustering, "PRODUCTS", 50)
     edges = random_edges(random.Random(11), 24, 40)
     edges = [e for e in edges if {e[0], e[1]} & set(range(24))] + [(k, k + 1, 0.1) for k in range(23) if not any(e[:2] == (k, k + 1) for e in edges)]
     found = {r.vertex: r.center for r in clustering.mcl(spark.createDataFrame(edges, EDGES), prune=1e-4).collect()}

@@ -356,7 +356,8 @@ def pkwik(spark, sf_dir):
 
 @query
 def mcl_step(spark, sf_dir):
-    return rounded(cl.mcl_step(cl.mcl_matrix(suppliers(spark, sf_dir)), 2.0, 1e-3))
+    matrix = kept(cl.mcl_matrix(kept(suppliers(spark, sf_dir), "edges")), "mcl")
+    return rounded(cl.mcl_step(matrix, 2.0, 1e-3))
 
 
 @query
