@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ ONLY_PYTHON = re.compile("[\x1c-\x1f]")
 SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?%#$&*;:]*)")
 
 #: Words kept by a worker, and the longest of them in characters.
-KEPT_WORDS, KEPT_CHARS = 1_000_000, 64
+KEPT_WORDS, KEPT_CHARS = 1_250_000, 64
 #: Words that the library encodes in one call.
 BATCH_WORDS = 8192
 #: A longer text is cut at word ends into slices of about this many characters.
@@ -83,18 +84,26 @@ class WordEncoder:
 
     def _model(self, text: str) -> bytes:
         """Ids of one pre-token, by the model alone."""
-        spelled = text.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
-
-    def _simple(self, letters: str, marks: str) -> bytes:
-        """Ids of a word of letters and marks: each part is a pre-token."""
-        letters = letters.lower() if self.bare else " " + letters
+        if text.isascii() and "\n" not in text:
+            spelled = text.replace(" ", "\u0120")
+        else:
+            spelled = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def _simple(self, letters: str, marks: str, blank: bool = True) -> bytes:
+        """Ids of a word of letters and marks, each part a pre-token; after a ``blank``, where the vocabulary keeps it."""
+        letters = letters.lower() if self.bare else " " + letters if blank else letters
         return self.cores[letters] + self.cores[marks] if marks else self.cores[letters]
 
     def _ids(self, word: str) -> bytes:
-        if self.simple and (parts := SIMPLE.fullmatch(word)):
-            return self._simple(*parts.groups())
-        return self._by_library(self._spelled(word))
+        first = not self.bare and word[:1] == "\0"
+        lines = [SIMPLE.fullmatch(line, first and not k) for k, line in enumerate(word.split("\n"))] if self.simple else [None]
+        if None in lines:
+            return self._by_library(self._spelled(word))
+        ids = self._simple(*lines[0].groups(), not first)
+        for line in lines[1:]:  # a line end alone between words is a pre-token of its own
+            ids += self.cores["\n"] + self._simple(*line.groups(), False)
+        return ids
 
     def _spelled(self, word: str) -> str:
         """The text that a key stands for."""
