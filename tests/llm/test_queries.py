@@ -19,7 +19,7 @@ from tyche.llm import packing, quality, secrets
 from tyche.llm.queries import ORACLE, QUERIES
 from tyche.llm.shared import table
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, MIDDLE, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
 
 
@@ -85,11 +85,32 @@ def test_scanned_table(spark, texts):
 
 
 def test_the_network_keeps_the_recall_on_the_table(spark):
-    windows, labels = secrets.labelled_candidates(table(spark, MIDDLE, "documents"))
-    net = secrets.train(windows, labels)
+    windows, labels, keys = secrets.labelled_candidates(table(spark, MIDDLE, "documents"))
+    net = secrets.train(windows, labels, keys)
     assert 0 < labels.mean() < 1 and net.recall >= 0.99 and net.threshold <= 1
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="needs the test tables")
+def test_planted_keys_of_no_pattern_are_found_on_the_table(spark):
+    """Keys too short or of another case than the patterns say, without a keyword, put into documents of the table.
+
+    The keys of this table are hexadecimal, so that is the form that can be learnt from it.
+    """
+    rng = np.random.default_rng(5)
+    kinds = [lambda: "".join(rng.choice(list("0123456789abcdef"), 14)) + "0a", lambda: "".join(rng.choice(list("0123456789ABCDEF"), 24))]
+    docs = table(spark, LARGE, "documents").select("doc_id", "text").filter("text is not null")
+    planted = [(r.doc_id, kinds[k % 2]()[: 14 + 10 * (k % 2)]) for k, r in enumerate(docs.select("doc_id").orderBy("doc_id").limit(200).collect())]
+    middle = F.expr("length(text) div 2")
+    texts = docs.join(spark.createDataFrame(planted, "doc_id long, key string"), "doc_id", "left").withColumn("at", F.when(F.col("key").isNotNull(), middle + 1))
+    texts = texts.withColumn("text", F.when(F.col("key").isNull(), F.col("text")).otherwise(F.concat(F.substring("text", F.lit(1), middle), F.lit(" "), "key", F.lit(" "), F.substring("text", middle + 1, F.length("text"))))).cache()
+    spans = {r.doc_id: r.spans.split(",") for r in secrets.scan(texts).select("doc_id", "spans").collect()}
+    places = {r.doc_id: f"net:{r.at}:{r.at + len(r.key)}" for r in texts.filter("key is not null").select("doc_id", "at", "key").collect()}
+    found = [[places[i] in spans[i] for i, _ in planted[kind::2]] for kind in range(2)]
+    false = sum(s.startswith("net:") and s != places.get(i) for i, all_ in spans.items() for s in all_)
+    assert min(map(np.mean, found)) >= 0.9, [np.mean(x) for x in found]
+    assert false <= 2 * texts.agg(F.sum(F.length("text"))).first()[0] / 1e6, false
+
+
 def test_scored_table(spark):
     rows = QUERIES["op6_quality_classifier"](spark, MIDDLE).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
