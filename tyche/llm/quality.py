@@ -48,7 +48,7 @@ def places(word: bytes) -> tuple[int, int]:
 
     core = LETTERS.search(word)
     shape = re.sub(rb"a+", b"a", re.sub(rb"A+", b"A", re.sub(rb"0+", b"0", word.translate(SHAPE))))
-    return xxh32_intdigest(core[0].lower() if core else b"") % BUCKETS, xxh32_intdigest(b"shape " + shape[:12]) % BUCKETS
+    return xxh32_intdigest(core[0].lower() if core else b"") % BUCKETS, xxh32_intdigest(b"shape " + shape) % BUCKETS
 
 
 #: Buckets of the words that a worker has met.
