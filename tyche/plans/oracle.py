@@ -369,3 +369,49 @@ ORACLE["mcl_step"] = f"""{WITH_GRAPH},
     m AS MATERIALIZED (SELECT i, j, v / sum(v) OVER (PARTITION BY j) AS v FROM start),
     squared AS (SELECT l.i, r.j, sum(l.v * r.v) AS v FROM m l JOIN m r ON l.j = r.i GROUP BY l.i, r.j)
     SELECT i, j, round(v * v / sum(v * v) OVER (PARTITION BY j), 9) AS v FROM squared WHERE v >= 1e-3"""
+
+ORACLE["edge_list_file"] = f"{WITH_GRAPH} SELECT least('s' || src, 's' || dst) AS a, greatest('s' || src, 's' || dst) AS b, round(floor(probability * 1024) / 1024, 9) AS probability FROM edges"
+ORACLE["label_lookup"] = f"{LINES} SELECT label, vertex FROM dictionary ORDER BY label DESC LIMIT 1"
+ORACLE["cluster_lines_file"] = """WITH sized AS (SELECT s_nationkey, row_number() OVER (ORDER BY count(*) DESC, s_nationkey) - 1 AS cluster_id FROM supplier GROUP BY s_nationkey)
+    SELECT cluster_id, 's' || s_suppkey AS member FROM supplier JOIN sized USING (s_nationkey)"""
+ORACLE["clustering_document"] = f"""{WITH_FIXED}
+    SELECT vertex AS id, center, 's' || vertex AS label, 's' || center AS center_label, round(probability, 9) AS probability, 'mcp' AS algorithm, {CENTERS}::BIGINT AS k FROM fixed"""
+ORACLE["confusion_of_files"] = ORACLE["confusion_matrix"]
+ORACLE["scored_document"] = f"""WITH {RUNS}, means AS (SELECT algorithm, k, avg(time) AS time FROM runs GROUP BY ALL)
+    SELECT run, 'lines' AS graph, algorithm, k, r.time AS run_time, round(m.time, 9) AS time FROM runs r JOIN means m USING (algorithm, k)"""
+ORACLE["json_lines_file"] = f"WITH {RUNS} SELECT run, k, time, 'pkwik' AS algorithm FROM runs"
+ORACLE["known_complexes_file"] = f"""{WITH_GRAPH}, known AS (SELECT src AS s FROM edges WHERE cnt >= 2 UNION SELECT dst FROM edges WHERE cnt >= 2)
+    SELECT 'n' || s_nationkey AS cluster_id, 'S' || s_suppkey AS member FROM supplier WHERE s_suppkey IN (FROM known)"""
+ORACLE["annotation_file"] = ORACLE["annotation_clusters"]
+ORACLE["xml_records"] = """WITH authors AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY l_orderkey)
+    SELECT 'journals/' || o_orderkey AS key, year(o_orderdate) AS year, array_to_string(list_transform(s, lambda x: 'Supplier_' || x), ' ') AS authors
+    FROM orders JOIN authors ON l_orderkey = o_orderkey"""
+ORACLE["cached_means"] = f"WITH {RUNS} SELECT k, round(avg(time), 9) AS time FROM runs GROUP BY k"
+ORACLE["conn_prob_depth_targets"] = f"SELECT * FROM ({depth(2)}) WHERE vertex IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 5 = 2)"
+ORACLE["qualifying_vertices"] = f"""{WITH_COMPONENTS}, near AS (
+        SELECT o.vertex FROM components c JOIN components o ON o.world = c.world AND o.comp = c.comp WHERE c.vertex = (SELECT min(vertex) FROM vertices)
+        GROUP BY o.vertex HAVING count(*) / {WORLDS} >= 0.9)
+    SELECT count(*) AS qualifying FROM near"""
+ORACLE["guesses_made"] = f"""{searched(6)}
+    SELECT guess::BIGINT AS iteration, CASE guess {" ".join(f"WHEN {g} THEN {p}::DOUBLE" for g, (p, _) in enumerate(GUESSES))} END AS p_curr, count(*) FILTER (center IS NULL) AS uncovered
+    FROM every WHERE guess <= (SELECT g FROM first_valid) GROUP BY guess"""
+ORACLE["all_scores"] = f"""{WITH_FIXED}, per AS (SELECT center, world, count(*) AS size, min(comp) = max(comp) AS whole FROM components JOIN fixed USING (vertex) GROUP BY ALL),
+    sets AS (SELECT center, max(size) AS size, count(*) FILTER (whole) / {WORLDS} AS reliability FROM per GROUP BY center),
+    met AS (SELECT world, center, comp, count(*) AS x FROM components JOIN fixed USING (vertex) GROUP BY ALL),
+    counted AS (SELECT sum(x * (x - 1) / 2) AS inside, sum(x * (s - x)) AS across FROM met JOIN (SELECT world, comp, count(*) AS s FROM components GROUP BY ALL) USING (world, comp)),
+    sizes AS (SELECT sum(c * (c - 1) / 2) AS inside_pairs, sum(c * ((SELECT count(*) FROM vertices) - c)) AS across_pairs FROM (SELECT count(*) AS c FROM fixed GROUP BY center)),
+    basic AS (SELECT round(least(1, min(probability)), 9) AS p_min, round(sum(probability), 9) AS probabilities_sum, round(avg(probability), 9) AS average_probability, count(*) FILTER (is_center) AS num_clusters FROM fixed)
+    SELECT basic.*, (SELECT round(sum(size * reliability) / sum(size), 9) FROM sets) AS acr,
+           round(inside / {WORLDS} / inside_pairs, 9) AS inner_avpr, round(across / {WORLDS} / across_pairs, 9) AS outer_avpr FROM basic, counted, sizes"""
+PART_GROUPS = "groups AS (SELECT p_brand AS c, p_partkey AS m FROM part UNION ALL SELECT 'size' || p_size, p_partkey FROM part)"
+ORACLE["overlapping_pair_counts"] = f"""WITH {PART_GROUPS}
+    SELECT (SELECT count(*) FROM (SELECT DISTINCT a.m, b.m FROM groups a JOIN groups b ON a.c = b.c AND a.m < b.m)) AS distinct_pairs,
+           (SELECT sum(n * (n - 1) // 2)::BIGINT FROM (SELECT count(*) AS n FROM groups GROUP BY c)) AS summed_pairs"""
+ORACLE["confusion_overlapping"] = f"""WITH {PART_GROUPS},
+    kinds AS (SELECT p_name AS c, p_partkey AS m FROM part UNION ALL SELECT p_type || ' ' || p_brand, p_partkey FROM part),
+    wanted AS MATERIALIZED (SELECT DISTINCT a.m AS a, b.m AS b FROM kinds a JOIN kinds b ON a.c = b.c AND a.m < b.m),
+    found AS (SELECT DISTINCT a.m AS a, b.m AS b FROM groups a JOIN groups b ON a.c = b.c AND a.m < b.m),
+    counts AS (SELECT count(w.a) AS tp, count(*) - count(w.a) AS fp FROM found f LEFT JOIN wanted w ON w.a = f.a AND w.b = f.b)
+    {CONFUSION.format(keys="").replace("FROM supplier", "FROM part")}"""
+ORACLE["distinct_members"] = "SELECT count(*) AS members FROM part"
+ORACLE["scalability_means"] = f"WITH {RUNS} SELECT k, algorithm, round(avg(time), 9) AS time FROM runs WHERE input = 'data/collins-lcc.txt' GROUP BY ALL"

@@ -504,3 +504,175 @@ def union_by_name(spark, sf_dir):
 def number_formats(spark, sf_dir):
     rows = result_rows(spark, sf_dir)
     return rows.select("run", chance.format_point(F.round("p_min", 6)).alias("point"), chance.format_exponent(F.col("time")).alias("exponent"))
+
+
+# --- files: what is written is read again
+
+
+def supplier_names(vertices: DataFrame) -> DataFrame:
+    return vertices.select("vertex", F.concat(F.lit("s"), F.col("vertex").cast("string")).alias("label"))
+
+
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("cluster_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("member"))
+
+
+@query
+def edge_list_file(spark, sf_dir):
+    edges = kept(suppliers(spark, sf_dir).withColumn("probability", (F.floor(F.col("probability") * 1024) / 1024)), "edges")
+    path = fresh_path(spark, "edge-list")
+    es.write_edge_list(es.Graph(supplier_names(es.vertices_of(edges)), edges), path)
+    g = es.read_edge_list(spark, path)
+    named = g.edges.join(g.vertices.toDF("src", "a"), "src").join(g.vertices.toDF("dst", "b"), "dst")
+    return rounded(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "probability"))
+
+
+@query
+def label_lookup(spark, sf_dir):
+    """The number that the dictionary gives the label which is last by name."""
+    g = es.graph_from_lines(edge_lines(suppliers(spark, sf_dir)))
+    label = g.vertices.agg(F.max("label")).first()[0]
+    return spark.createDataFrame([(label, es.vertex_of(g, label))], "label string, vertex long")
+
+
+@query
+def cluster_lines_file(spark, sf_dir):
+    path = fresh_path(spark, "clusters")
+    cs.write_clusters(nations(spark, sf_dir), path)
+    return cs.read_clusters(spark, path)
+
+
+@query
+def clustering_document(spark, sf_dir):
+    vertices, comps = world_table(spark, sf_dir)
+    rows = results.clustering_rows(fixed_clustering(vertices, comps), supplier_names(vertices))
+    path = results.save_run(fresh_path(spark, "documents"), {"algorithm": "mcp", "k": CENTERS}, {"clustering": rows}, "2017-05-01T10:00:00")
+    return rounded(results.load_table(spark, path, "clustering").withColumnRenamed("center label", "center_label").drop("date"))
+
+
+@query
+def confusion_of_files(spark, sf_dir):
+    """The clustering in a result document against the lines of a ground truth, and back from JSON."""
+    vertices, comps = world_table(spark, sf_dir)
+    rows = results.clustering_rows(fixed_clustering(vertices, comps), supplier_names(vertices))
+    document = results.save_run(fresh_path(spark, "documents"), {"algorithm": "mcp"}, {"clustering": rows})
+    truth, matrix = fresh_path(spark, "truth"), fresh_path(spark, "matrix")
+    cs.write_clusters(nations(spark, sf_dir), truth)
+    evaluate.write_confusion(evaluate.confusion_matrix_of_files(spark, document, truth), matrix)
+    names = ["tp", "fp", "fn", "tn", "tpr", "fpr", "fnr", "tnr"]
+    return rounded(spark.read.schema(", ".join(f"{c} {'long' if len(c) == 2 else 'double'}" for c in names)).json(matrix))
+
+
+@query
+def scored_document(spark, sf_dir):
+    """A document of runs with a table of means put beside its own."""
+    rows = result_rows(spark, sf_dir)
+    path = results.save_run(fresh_path(spark, "documents"), {"graph": "lines"}, {"runs": rows})
+    means = report.group_means(rows, ["algorithm", "k"], ["time"])
+    whole = results.with_tables(spark, path, fresh_path(spark, "scored"), {"means": means})
+    own, new = (results.load_table(spark, whole, name).drop("date") for name in ("runs", "means"))
+    return rounded(own.select("run", "graph", "algorithm", "k", F.col("time").alias("run_time")).join(new.select("algorithm", "k", "time"), ["algorithm", "k"]))
+
+
+@query
+def json_lines_file(spark, sf_dir):
+    path = fresh_path(spark, "lines")
+    result_rows(spark, sf_dir).select("run", "k", "time").write.json(path)
+    return rounded(results.load_json_lines(spark, path, "pkwik"))
+
+
+@query
+def known_complexes_file(spark, sf_dir):
+    complexes, pairs = fresh_path(spark, "complexes"), fresh_path(spark, "interactions")
+    nations(spark, sf_dir).select(F.concat_ws("|", "member", F.concat(F.lit("n"), F.col("cluster_id").cast("string")))).write.text(complexes)
+    edges = suppliers(spark, sf_dir).filter("cnt >= 2")
+    edges.select(F.concat_ws(" ", F.concat(F.lit("s"), F.col("src").cast("string")), F.concat(F.lit("s"), F.col("dst").cast("string")), F.col("probability").cast("string"))).write.text(pairs)
+    return cs.known_complexes(spark, complexes, pairs)
+
+
+@query
+def annotation_file(spark, sf_dir):
+    path = fresh_path(spark, "annotations")
+    notes = F.concat_ws(", ", "p_brand", F.when(F.col("p_size") > 25, "NOVEL").otherwise(F.concat(F.lit("size"), F.col("p_size").cast("string"))))
+    table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("ORF"), notes.alias("MIPS complex annotation")).write.option("header", True).csv(path)
+    return cs.read_annotations(spark, path).groupBy("cluster_id").agg(F.count("*").alias("size"))
+
+
+@query
+def xml_records(spark, sf_dir):
+    """Orders as records of compressed dumps."""
+    path = fresh_path(spark, "dump")
+    authors = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"))
+    orders = table(spark, sf_dir, "orders").join(authors, "o_orderkey")
+    persons = F.array_join(F.transform("s", lambda s: F.concat(F.lit("<author>Supplier "), s.cast("string"), F.lit("</author>"))), "")
+    line = F.concat(F.lit('<article key="journals/'), F.col("o_orderkey").cast("string"), F.lit('"><year>'), F.year("o_orderdate").cast("string"), F.lit("</year>"), persons, F.lit("</article><www/>"))
+    orders.select(line).write.option("compression", "gzip").text(path)
+    records = es.read_packed_xml_records(spark, path, "article")
+    return records.select(F.col("_key").alias("key"), F.col("year").cast("long").alias("year"), F.array_join(F.transform(F.col("author").cast("array<string>"), es.person_name), " ").alias("authors"))
+
+
+@query
+def cached_means(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    path = fresh_path(spark, "cache")
+    build = lambda: report.group_means(result_rows(spark, sf_dir), ["k"], ["time"])
+    results.cached_table(build, path, lines)
+    return rounded(results.cached_table(lambda: lines.limit(0), path, lines))
+
+
+# --- further counts
+
+
+@query
+def conn_prob_depth_targets(spark, sf_dir):
+    edges = kept(suppliers(spark, sf_dir), "edges")
+    vertices = kept(es.vertices_of(edges), "vertices")
+    targets = table(spark, sf_dir, "supplier").filter("s_nationkey % 5 = 2").select(F.col("s_suppkey").alias("vertex"))
+    arcs = kept(reliability.arcs_of(world_bits(edges, 0, -(-WORLDS // reliability.BITS), SEED)), "arcs")
+    return rounded(reliability.within_depth(arcs, vertices, vertices.orderBy("vertex").limit(1), 2, WORLDS, targets).select("vertex", "probability"))
+
+
+@query
+def qualifying_vertices(spark, sf_dir):
+    vertices, comps = world_table(spark, sf_dir)
+    n = reliability.qualifying(reliability.from_source(comps, lowest(vertices), WORLDS), 0.9)
+    return spark.createDataFrame([(n,)], "qualifying long")
+
+
+@query
+def guesses_made(spark, sf_dir):
+    return rounded(cl.mcp(Worlds(suppliers(spark, sf_dir), seed=SEED), k=6).guesses().select("iteration", "p_curr", "uncovered"))
+
+
+@query
+def all_scores(spark, sf_dir):
+    vertices, comps = world_table(spark, sf_dir)
+    w = Worlds(kept(suppliers(spark, sf_dir), "edges"), vertices, seed=SEED)
+    return rounded(scores.scores(w, fixed_clustering(vertices, comps), acr=True, avpr=True, p_floor=1.0))
+
+
+def part_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by brand and, overlapping these, by size."""
+    sizes = table(spark, sf_dir, "part").select(F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("cluster_id"), F.col("p_partkey").alias("member"))
+    return brands(spark, sf_dir).unionByName(sizes)
+
+
+@query
+def overlapping_pair_counts(spark, sf_dir):
+    return evaluate.pair_counts(part_groups(spark, sf_dir))
+
+
+@query
+def confusion_overlapping(spark, sf_dir):
+    truth = table(spark, sf_dir, "part").select(F.explode(F.array(F.col("p_name"), F.concat_ws(" ", "p_type", "p_brand"))).alias("cluster_id"), F.col("p_partkey").alias("member"))
+    return rounded(evaluate.confusion_matrix(part_groups(spark, sf_dir), truth))
+
+
+@query
+def distinct_members(spark, sf_dir):
+    return spark.createDataFrame([(evaluate.distinct_members(part_groups(spark, sf_dir)),)], "members long")
+
+
+@query
+def scalability_means(spark, sf_dir):
+    return rounded(report.scalability(result_rows(spark, sf_dir), "data/collins-lcc.txt"))
