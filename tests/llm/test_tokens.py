@@ -197,6 +197,14 @@ def test_the_search_beats_best_fit_on_whole_sequences():
     assert sum(m for _, m in found) == packing.lower_bound(histogram, 2048) == 60 < greedy
 
 
+def test_a_bound_by_number_ends_the_search():
+    rng = random.Random(6)
+    histogram: dict[int, int] = {}
+    for x in (rng.randint(600, 682) for _ in range(1000)):
+        histogram[x] = histogram.get(x, 0) + 1
+    assert packing.lower_bound(histogram, 2048) == 334 == sum(m for _, m in packing.bin_completion(histogram, 2048, nodes=0))
+
+
 def test_fillings_are_all_undominated_ones():
     rng = random.Random(5)
     for _ in range(200):

@@ -140,9 +140,12 @@ def fillings(space: int, lengths: list[int], left: dict[int, int], looks: Iterat
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """The larger of the volume bound and Martello and Toth's bound over all thresholds."""
+    """The largest of the volume bound, Martello and Toth's bound over all thresholds, and how many items a bin can hold."""
     volume = sum(k * n for k, n in counts.items())
-    best = math.ceil(volume / capacity)
+    best, many = math.ceil(volume / capacity), 0
+    for k in sorted(counts, reverse=True):  # items of k and more: capacity // k of them fit a bin at most
+        many += counts[k]
+        best = max(best, math.ceil(many / (capacity // k)))
     for a in [x for x in counts if 2 * x <= capacity] or [0]:
         big = sum(n for k, n in counts.items() if k > capacity - a)
         half = {k: n for k, n in counts.items() if capacity - a >= k > capacity / 2}
@@ -274,6 +277,6 @@ def pack(cut: DataFrame, capacity: int = 2048, nodes: int = 6000) -> DataFrame:
     return placed.select(*cut.columns, sequence.alias("sequence_id"), offset.alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """All of ``docs`` packed: encoded once into the shared folder, then placed by :func:`pack`."""
-    return pack(kept(pieces(docs, vocabulary, capacity, end_id), "pieces"), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, nodes: int = 6000) -> DataFrame:
+    """All of ``docs`` packed: encoded once into the shared folder, then placed by :func:`pack`, whose search takes ``nodes``."""
+    return pack(kept(pieces(docs, vocabulary, capacity, end_id), "pieces"), capacity, nodes)
