@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Prefixes of input files, the names of algorithms and measures in reports, and the k shown of the large input.
+# Prefixes of input files, the names of algorithms and measures in reports, the k shown of the large input, and the measures of each figure.
 INPUTS = (("collins", "Collins"), ("krogan", "Krogan"), ("gavin", "Gavin"), ("dblp", "DBLP"))
 ALGORITHMS = {"gmm": r"\textsc{gmm}", "mcl": r"\textsc{mcl}", "k-center": r"\textsc{mcp}", "k-median": r"\textsc{acp}", "k-median-2": r"\textsc{acp}"}
 LARGE_KS = (1818, 5274, 15576)
 MEASURES = {"p_min": "$p_{min}$", "average probability": "$p_{avg}$", "inner-avpr": "inner-AVPR", "outer-avpr": "outer-AVPR", "time": "time (ms)"}
+FIGURES = {"figure-1": ("p_min", "average probability"), "figure-2": ("inner-avpr", "outer-avpr"), "figure-3": ("time",)}
 
 
 def scores_with_times(scores: DataFrame, times: DataFrame, key: str = "date") -> DataFrame:
@@ -63,3 +64,22 @@ def wanted_rows(df: DataFrame, large: str = "DBLP", large_k: tuple[int, ...] = L
 def scalability(df: DataFrame, input_: str) -> DataFrame:
     """Mean time by k and algorithm on one input."""
     return group_means(df.filter(F.col("input") == input_), ["k", "algorithm"], ["time"])
+
+
+def figure_inputs(runs: DataFrame, figures: dict[str, tuple[str, ...]] = FIGURES) -> dict[str, DataFrame]:
+    """By figure, ``input, k, algorithm, measure, value``: the means that it shows of ``runs``, by the names of reports.
+
+    ``runs`` has input, k, algorithm and a column for each measure; measures it lacks are left out.
+    """
+    rows = renamed_values(runs.withColumn("input", input_name(F.col("input"))), "algorithm", ALGORITHMS)
+    rows, keys = wanted_rows(rows), ["input", "k", "algorithm"]
+    shown = {name: [m for m in measures if m in runs.columns] for name, measures in figures.items()}
+    means = {name: unpivoted(rows.groupBy(*keys).agg(*(F.avg(f"`{m}`").alias(m) for m in measures)), keys, measures) for name, measures in shown.items() if measures}
+    return {name: renamed_values(df, "measure", MEASURES) for name, df in means.items()}
+
+
+def prediction_tables(ours: DataFrame, baselines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mean ``tpr`` and ``fpr``: of each baseline algorithm, and of ours by depth with a pair of columns for each algorithm."""
+    ours = renamed_values(ours, "algorithm", {"k-center": "mcp", "k-median-2": "acp"})
+    rates = [F.avg("tpr").alias("tpr"), F.avg("fpr").alias("fpr")]
+    return ours.groupBy("depth").pivot("algorithm", ["acp", "mcp"]).agg(*rates), baselines.groupBy("algorithm").agg(*rates)

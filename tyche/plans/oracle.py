@@ -415,3 +415,18 @@ ORACLE["confusion_overlapping"] = f"""WITH {PART_GROUPS},
     {CONFUSION.format(keys="").replace("FROM supplier", "FROM part")}"""
 ORACLE["distinct_members"] = "SELECT count(*) AS members FROM part"
 ORACLE["scalability_means"] = f"WITH {RUNS} SELECT k, algorithm, round(avg(time), 9) AS time FROM runs WHERE input = 'data/collins-lcc.txt' GROUP BY ALL"
+ORACLE["figure_rows"] = rf"""WITH {RUNS}, shown AS (
+        SELECT CASE WHEN input LIKE '%collins%' THEN 'Collins' ELSE 'DBLP' END AS input, k * 2 AS k,
+               CASE algorithm WHEN 'gmm' THEN '\textsc{{gmm}}' WHEN 'k-center' THEN '\textsc{{mcp}}' ELSE '\textsc{{acp}}' END AS algorithm, p_min, p_avg, time
+        FROM runs WHERE k * 2 > 3 AND input LIKE '%collins%')
+    SELECT 'figure-1' AS figure, input, k, algorithm, '$p_{{min}}$' AS measure, round(avg(p_min), 9) AS value FROM shown GROUP BY ALL
+    UNION ALL SELECT 'figure-1', input, k, algorithm, '$p_{{avg}}$', round(avg(p_avg), 9) FROM shown GROUP BY ALL
+    UNION ALL SELECT 'figure-3', input, k, algorithm, 'time (ms)', round(avg(time), 9) FROM shown GROUP BY ALL"""
+ORACLE["prediction_table"] = f"""WITH {WANTED},
+    actual AS (SELECT algorithm, depth::INTEGER AS depth, s_suppkey AS member, (CASE algorithm WHEN 'mcp' THEN s_suppkey ELSE s_suppkey // 3 END) % depth AS cluster
+               FROM supplier, range(2, 7) t(depth), (VALUES ('mcp'), ('acp')) a(algorithm)),
+    found AS (SELECT a.algorithm, a.depth, a.member AS a, b.member AS b FROM actual a JOIN actual b ON a.algorithm = b.algorithm AND a.depth = b.depth AND a.cluster = b.cluster AND a.member < b.member),
+    counts AS (SELECT algorithm, depth, count(w.a) AS tp, count(*) - count(w.a) AS fp FROM found f LEFT JOIN wanted w ON w.a = f.a AND w.b = f.b GROUP BY ALL),
+    rates AS ({CONFUSION.format(keys="algorithm, depth,")})
+    SELECT depth, avg(tpr) FILTER (algorithm = 'acp') AS acp_tpr, avg(fpr) FILTER (algorithm = 'acp') AS acp_fpr,
+           avg(tpr) FILTER (algorithm = 'mcp') AS mcp_tpr, avg(fpr) FILTER (algorithm = 'mcp') AS mcp_fpr FROM rates GROUP BY depth"""

@@ -676,3 +676,20 @@ def distinct_members(spark, sf_dir):
 @query
 def scalability_means(spark, sf_dir):
     return rounded(report.scalability(result_rows(spark, sf_dir), "data/collins-lcc.txt"))
+
+
+@query
+def figure_rows(spark, sf_dir):
+    shown = report.figure_inputs(result_rows(spark, sf_dir).withColumn("k", F.col("k") * 2))
+    return rounded(report.union_by_name(*(df.select(F.lit(name).alias("figure"), "*") for name, df in sorted(shown.items()))))
+
+
+@query
+def prediction_table(spark, sf_dir):
+    """Two ways to cut suppliers into 2 to 6 parts as algorithms, against their nations."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member"), F.col("s_nationkey").alias("nation"))
+    cut = s.withColumn("depth", F.explode(F.sequence(F.lit(2), F.lit(6)))).withColumn("algorithm", F.explode(F.array(F.lit("k-center"), F.lit("k-median-2"))))
+    part = F.when(F.col("algorithm") == "k-center", F.col("member")).otherwise(F.floor(F.col("member") / 3)) % F.col("depth")
+    truth = s.select(F.col("nation").alias("cluster_id"), "member")
+    found = evaluate.confusion_matrix(cut.select("algorithm", "depth", part.alias("cluster_id"), "member"), truth, ("algorithm", "depth"))
+    return rounded(report.prediction_tables(found, found)[0])
