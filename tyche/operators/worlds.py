@@ -40,17 +40,12 @@ def world_bits(edges: DataFrame, first: int, stop: int, seed: int = 42, fast: bo
     """``block, src, dst, bits``: bit ``w`` of block ``b`` tells whether the edge exists in world ``64 b + w``.
 
     For blocks ``first`` to ``stop - 1``, with the coins of :func:`world_edges`. Edges that exist in no world of a
-    block have no row; nothing is shuffled.
+    block have no row; each task puts the bits of an edge together before they are shuffled.
     """
-    each = edges.select("src", "dst", "probability", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(stop - 1).cast("long"))).alias("block"))
-    toss = fast_uniform if fast else uniform
-
-    def add(bits, w):
-        coin = toss(F.lit(seed), F.col("block") * BITS + w, F.col("src"), F.col("dst"))
-        return F.when(coin <= F.col("probability"), bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.cast("int")))).otherwise(bits)
-
-    bits = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(BITS - 1).cast("long")), F.lit(0).cast("long"), add)
-    return each.select("block", "src", "dst", bits.alias("bits")).filter("bits != 0")
+    world = F.col("world")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (world % BITS).cast("int"))
+    alive = world_edges(edges, first * BITS, stop * BITS, seed, fast)
+    return alive.groupBy(F.floor(world / BITS).alias("block"), "src", "dst").agg(F.bit_or(bit).alias("bits"))
 
 
 def world_rows(bits: DataFrame, first: int, stop: int) -> DataFrame:
