@@ -246,27 +246,24 @@ def pack(cut: DataFrame, capacity: int = 2048, nodes: int = 6000) -> DataFrame:
     """``cut`` (rows of :func:`pieces`, each ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
     Within a sequence the pieces follow each other from offset 0 without gaps. Pieces are numbered per length and
-    salt, so a length that most of the rows share is numbered by many tasks. Driver and broadcasts hold at most
-    ``capacity * SALTS`` counts. Repeated rows are packed each, an empty input gives an empty result.
+    salt, so a length that most of the rows share is numbered by many tasks. The driver holds the histogram and the
+    plan, at most ``capacity`` lengths. Repeated rows are packed each, an empty input gives an empty result.
     """
     spark = cut.sparkSession
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toArrow().sort_by([("length", "ascending"), ("salt", "ascending")])
-    lengths, many = (counts.column(c).to_numpy() for c in ("length", "n"))
-    known, first = np.unique(lengths, return_index=True)
-    before = np.append(0, np.cumsum(many))  # pieces before each row; from the first of its length on, its base
-    histogram = dict(zip(known.tolist(), np.diff(before[np.append(first, len(many))]).tolist(), strict=True))
-    bases = before[:-1] - before[first][np.searchsorted(known, lengths)]
+    counts = kept(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "counts")
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     places: dict[int, list] = {}
     patterns = bin_completion(histogram, capacity, nodes)
     log.info("%s sequences; no packing has fewer than %s", sum(m for _, m in patterns), lower_bound(histogram, capacity))
     for length, *place in layout(patterns):
         places.setdefault(length, []).append(tuple(place))
-    base = spark.createDataFrame(pa.table({"length": lengths, "salt": counts.column("salt"), "base": pa.array(bases, pa.int64())}))
     plan = spark.createDataFrame(list(places.items()), "length long, places array<struct<first_rank: long, first_bin: long, per_bin: long, at: long>>")
     numbered = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
     placed = (
-        numbered.join(F.broadcast(base), ["length", "salt"])
+        numbered.join(base.hint("merge"), ["length", "salt"])  # dealt out and sorted alike already
         .join(F.broadcast(plan), "length")
         .withColumn("rank", F.col("base") + F.col("nth"))
         .withColumn("place", F.element_at(F.filter("places", lambda p: p["first_rank"] <= F.col("rank")), -1))
