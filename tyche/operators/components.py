@@ -22,7 +22,7 @@ def components(edges: DataFrame, keys: list[str] | None = None, src: str = "src"
     """``*keys, vertex, comp`` for every vertex that has an edge; ``comp`` is the smallest vertex of its component.
 
     Each combination of ``keys`` (a possible world, say) is a graph of its own, of at most ``most`` edges (counted if
-    not given). Graphs of at most ``WHOLE`` edges are dealt to tasks whole. Of others every task first joins the edges
+    not given). Keyed graphs of at most ``WHOLE`` edges are dealt to tasks whole. Of others every task first joins the edges
     that it happens to have and hands on each vertex with the smallest one it found it joined with; a vertex that
     several tasks have seen links what they found. Only these links are left to join: by one task if they are few,
     else by :func:`by_rounds`. So a hub's edges end where they were read, and its name is not a key of any shuffle.
@@ -99,10 +99,9 @@ def joined(edges: DataFrame, keys: list[str]) -> DataFrame:
 def by_rounds(edges: DataFrame, keys: list[str]) -> DataFrame:
     """The same as :func:`components`, for graphs of any size, in rounds of joins.
 
-    All graphs advance together. A round
-    takes the smallest label among the neighbours, passes it on to the vertex that the old label names, and follows
-    labels twice as far (pointer jumping). Each round writes its labels to the shared folder and drops those before,
-    so neither a plan nor the folder grows over the rounds. Rounds end when no label changes.
+    All graphs advance together. A round takes the smallest label among the neighbours, passes it on to the vertex that
+    the old label names, and follows labels twice as far (pointer jumping). Each round writes its labels to the shared
+    folder and drops those before, so neither a plan nor the folder grows over the rounds. They end when no label changes.
     """
     spark = edges.sparkSession
     both = edges.select(*keys, F.col("src").alias("vertex"), F.col("dst").alias("other"))
