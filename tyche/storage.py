@@ -34,7 +34,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> str:
     """The path in the shared folder that ``df`` is written to; the shuffle files of the write go with its end."""
     path, conf = fresh_path(df.sparkSession, name), df.sparkSession.conf
-    before = conf.get(CLEANUP)
+    before = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
