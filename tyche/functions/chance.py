@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def uniform(*key: Column | str | int) -> Column:
@@ -38,12 +39,23 @@ def edge_weight(p: Column) -> Column:
     return F.when(p > 0, -F.ln(p)).otherwise(F.lit(float("inf")))
 
 
+def to_thousandths(value: Column) -> Column:
+    """Three decimals, halves away from zero, by the same arithmetic as the engines that scale and round."""
+    return F.round(value * 1000) / 1000
+
+
 def format_point(value: Column) -> Column:
     """Three decimals without the leading zero, in math mode; ``< 10^{-3}`` for 0."""
-    shown = F.substring(F.format_string("%.3f", F.round(value, 3)), 2, 100)
+    shown = F.substring(F.format_string("%.3f", to_thousandths(value)), 2, 100)
     return F.when(value == 0, "$< 10^{-3}$").otherwise(F.concat(F.lit("$"), shown, F.lit("$")))
 
 
+@F.udf(StringType())
+def scientific(value: float | None) -> str | None:
+    """Four digits and an exponent as C prints them: halves go to the even digit, where Spark's formats round them up."""
+    return None if value is None else f"{value:.3E}"
+
+
 def format_exponent(value: Column) -> Column:
     """Three decimals and a power of ten, in math mode."""
-    return F.concat(F.lit("$"), F.replace(F.format_string("%.3E", F.round(value, 3)), F.lit("E"), F.lit(r"\cdot 10^{")), F.lit("}$"))
+    return F.concat(F.lit("$"), F.replace(scientific(to_thousandths(value)), F.lit("E"), F.lit(r"\cdot 10^{")), F.lit("}$"))
