@@ -104,17 +104,19 @@ def write_edge_list(graph: Graph, path: str) -> None:
     graph.edges.join(a, "src").join(b, "dst").select(F.concat_ws(" ", "a", "b", F.col("probability").cast("string"))).write.text(path)
 
 
-def pairs_within(rows: DataFrame, group: list[str], key: str, most: int = PART_ROWS) -> DataFrame:
+def pairs_within(rows: DataFrame, group: list[str], key: str, most: int = PART_ROWS, *, tasks: int | None = None) -> DataFrame:
     """``*group, l, r``: every two rows of a group once, as structs of the other columns; ``key`` names a row of a group.
 
     A group of over ``most`` rows is cut into parts by the hash of ``key``, and each two parts, or a part with itself,
     are joined under a key of their own: the pairs of a large group are dealt to as many tasks as it has pairs of parts.
+    Small tables of few groups may still be broadcast or coalesced into one task; ``tasks`` deals the keys to that many.
     """
     large = rows.groupBy(*group).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
     row = F.struct(*(c for c in rows.columns if c not in group))
     placed = rows.join(large, group, "left").select(*group, row.alias("row"), parts.alias("parts"), F.pmod(F.xxhash64(key), parts).cast("int").alias("part"))
     left = placed.select(*group, F.col("part").alias("p"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("q"), F.col("row").alias("l"))
+    left = left.repartition(tasks, *group, "p", "q") if tasks else left
     right = placed.select(*group, F.explode(F.sequence(F.lit(0), F.col("part"))).alias("p"), F.col("part").alias("q"), F.col("row").alias("r"))
     return left.join(right, [*group, "p", "q"]).filter((F.col("p") < F.col("q")) | (F.col("l")[key] < F.col("r")[key])).select(*group, "l", "r")
 
