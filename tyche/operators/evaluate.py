@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.clusters import read_clusters
 from ..sources.edges import pairs_within
 
+#: Sets of clusters of one member up to which pairs are counted by sets of clusters.
+SETS = 4096
+
+
+def many(df: DataFrame) -> int:
+    """The session's number of shuffle partitions: how many tasks pairs are dealt to, however small the table they come from."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
 
 def same_cluster_pairs(clusters: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct ``*keys, a, b`` with ``a < b`` that share a cluster of ``clusters(*keys, cluster_id, member)``."""
-    left, right = clusters.withColumnRenamed("member", "a"), clusters.withColumnRenamed("member", "b")
-    return left.join(right, [*keys, "cluster_id"]).filter("a < b").select(*keys, "a", "b").distinct()
+    """Distinct ``*keys, a, b`` with ``a < b`` that share a cluster of ``clusters(*keys, cluster_id, member)``.
+
+    The pairs are the result and are not shuffled: each is made once, under the smallest cluster that both are in,
+    and those of a large cluster by many tasks.
+    """
+    placed = clusters.filter("member is not null and cluster_id is not null")
+    each = member_classes(placed, keys).select(*keys, "member", "ids", F.explode("ids").alias("cluster_id"))
+    pairs = pairs_within(each, [*keys, "cluster_id"], "member", tasks=many(clusters))
+    once = (F.size("l.ids") == 1) | (F.size("r.ids") == 1) | (F.col("cluster_id") == F.array_min(F.array_intersect("l.ids", "r.ids")))
+    return pairs.filter(once).select(*keys, F.least("l.member", "r.member").alias("a"), F.greatest("l.member", "r.member").alias("b"))
 
 
 def made_pairs(sizes: DataFrame, *keys: str) -> DataFrame:
@@ -33,16 +48,37 @@ def member_classes(clusters: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
 def overlapping_pairs(classes: DataFrame, keys: tuple[str, ...] = (), also: str | None = None) -> DataFrame:
     """``*keys, made``: the pairs of members that share a cluster, each once.
 
-    ``classes`` is ``*keys, ids, n``: how many members are in just the clusters ``ids``. No pair of members is listed,
-    only pairs of classes, each under the smallest cluster that both are in. With ``also``, the name of a further
-    column of ids, members of a pair must also share one of these.
+    ``classes`` is ``*keys, ids, n``: how many members are in just the clusters ``ids``. With ``also``, the name of a
+    further column of ids, members of a pair must also share one of these. No pair is listed: by inclusion and exclusion
+    it is the pairs of those that share a set of clusters, over all sets that a member has, those of an even number of
+    clusters taken off. Where a member is in so many clusters that it has over ``SETS`` sets, pairs of classes are counted.
     """
     shared = ["ids", *([also] if also else [])]
     some = classes.select(*keys, *shared, "n").filter(" and ".join(f"size({c}) > 0" for c in shared))
-    within = some.select(*keys, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("made"))
+    most = some.agg(F.max(sum((F.size(c) for c in shared), F.lit(0)))).first()[0] or 0
+    if 1 << most > SETS:
+        return pairs_of_classes(some, keys, also)
+    sets = some
+    for c in shared:
+        sets = sets.withColumn(c, F.explode(subsets(c)))
+    sizes = sets.groupBy(*keys, *shared).agg(F.sum("n").alias("n"))
+    odd = F.when((sum((F.size(c) - 1 for c in shared), F.lit(0))) % 2 == 0, 1).otherwise(-1)
+    return sizes.groupBy(*keys).agg(F.coalesce(F.sum(odd * F.expr("n * (n - 1) div 2")), F.lit(0)).cast("long").alias("made"))
+
+
+def subsets(ids: str) -> Column:
+    """All sets of one or more of the ``ids``, in their order."""
+    sets = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(ids)) - 1)
+    return F.transform(sets, lambda s: F.filter(ids, lambda _, place: F.call_function("shiftright", s, place) % 2 == 1))
+
+
+def pairs_of_classes(some: DataFrame, keys: tuple[str, ...], also: str | None) -> DataFrame:
+    """:func:`overlapping_pairs` from pairs of classes, each under the smallest cluster that both are in."""
+    shared = ["ids", *([also] if also else [])]
+    within = some.select(*keys, F.expr("n * (n - 1) div 2").alias("made"))
     row = F.struct(*shared)
     each = some.select(*keys, F.explode("ids").alias("cluster"), row.alias("class"), "n")
-    pairs = pairs_within(each, [*keys, "cluster"], "class").filter(F.col("cluster") == F.array_min(F.array_intersect("l.class.ids", "r.class.ids")))
+    pairs = pairs_within(each, [*keys, "cluster"], "class", tasks=many(some)).filter(F.col("cluster") == F.array_min(F.array_intersect("l.class.ids", "r.class.ids")))
     if also:
         pairs = pairs.filter(F.arrays_overlap(f"l.class.{also}", f"r.class.{also}"))
     across = pairs.select(*keys, (F.col("l.n") * F.col("r.n")).alias("made"))
