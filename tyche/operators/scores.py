@@ -43,10 +43,9 @@ def vertex_pair_reliability(members: DataFrame, comps: DataFrame, r: int, n: int
 
 
 def vertex_pair_reliability_by_pairs(members: DataFrame, comps: DataFrame, r: int) -> DataFrame:
-    """``inner_avpr`` from listed pairs: a cross-check for small clusters."""
-    m = comps.join(members.select("vertex", "center"), "vertex")
-    a, b = m.withColumnRenamed("vertex", "a"), m.withColumnRenamed("vertex", "b")
-    met = a.join(b, ["world", "comp", "center"]).filter("a < b").agg(F.count("*").alias("met"))
+    """``inner_avpr`` as the share of a cluster's pairs that meet in a world; the pairs are counted by groups, never listed."""
+    m = comps.join(members.select("vertex", "center"), "vertex").groupBy("world", "comp", "center").agg(F.count("*").alias("x"))
+    met = m.agg(F.coalesce(F.sum(F.expr("x * (x - 1) div 2")), F.lit(0)).alias("met"))
     pairs = members.groupBy("center").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"))
     return met.crossJoin(pairs).select(F.try_divide(2 * F.col("met") / r, F.col("pairs")).alias("inner_avpr"))  # one row each
 
