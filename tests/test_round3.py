@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 import random
 
 import duckdb
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tyche.functions import chance
 from tyche.operators import clustering, components, evaluate, reliability, scores
+from tyche.operators.worlds import Worlds
 from tyche.sources import edges as es
 
 EDGES = "src long, dst long, probability double"
@@ -113,3 +113,22 @@ def test_pairs_of_a_cluster_are_counted(spark):
     comps = spark.range(n).select(F.lit(0).cast("long").alias("world"), F.col("id").alias("vertex"), F.lit(0).cast("long").alias("comp"))
     members = spark.range(n).select(F.col("id").alias("vertex"), F.lit(0).cast("long").alias("center"))
     assert scores.vertex_pair_reliability_by_pairs(members, comps, 1).first().inner_avpr == 1.0
+
+
+def test_a_search_by_blocks_of_worlds_is_that_of_all(spark, monkeypatch):
+    edges = spark.createDataFrame([*random_edges(random.Random(5), 14, 24), (7, 7, 0.5), (50, 51, 0.0)], EDGES)
+    w = Worlds(edges)
+    w.grow(150)
+    firsts = [(0, 0), (3, 65), (5, 149), (6, 150), (51, 10)]
+    for depth, most in ((0, 1 << 22), (1, 20), (3, 1 << 22)):
+        monkeypatch.setattr(reliability, "ELEMENTS", most)
+        wanted = reliability.depth_hits(w.arcs(), spark.createDataFrame(firsts, "source long, first int"), depth, 150)
+        assert sorted(map(tuple, reliability.block_hits(w.arcs(), firsts, depth, 150).collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_what_no_guess_can_cover_is_an_error_at_once(spark, monkeypatch):
+    """Three components, of which two centers cover two: no world is drawn to find that out."""
+    monkeypatch.setattr(Worlds, "reach", lambda *_: pytest.fail("a world was drawn"))
+    three = spark.createDataFrame([(10 * c + a, 10 * c + a + 1, 0.9) for c in range(3) for a in range(4)], EDGES)
+    with pytest.raises(RuntimeError, match="no clustering"):
+        clustering.mcp(Worlds(three), k=3, depth=4)
