@@ -6,6 +6,7 @@ import itertools
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,26 @@ def test_what_no_guess_can_cover_is_an_error_at_once(spark, monkeypatch):
     three = spark.createDataFrame([(10 * c + a, 10 * c + a + 1, 0.9) for c in range(3) for a in range(4)], EDGES)
     with pytest.raises(RuntimeError, match="no clustering"):
         clustering.mcp(Worlds(three), k=3, depth=4)
+
+
+@pytest.mark.parametrize(("columns", "products", "entries"), [(1800, 1 << 22, 1100), (4, 60, 1100), (6, 1 << 22, 3), (1, 4, 1100)])
+def test_a_flow_is_squared_by_blocks_of_columns(spark, monkeypatch, columns, products, entries):
+    """Whole components and parts of them against dense matrices; before, sums of products by entry were shuffled."""
+    monkeypatch.setattr(clustering, "ROW_PART", columns)
+    monkeypatch.setattr(clustering, "PRODUCTS", products)
+    rng = random.Random(6)
+    edges = [(30 * c + a, 30 * c + b, p) for c in range(3) for a, b, p in random_edges(rng, 5 + 12 * c, 9 + 30 * c)]
+    matrix = clustering.kept(clustering.mcl_matrix(spark.createDataFrame(edges, EDGES)), "matrix")
+    m = np.zeros((100, 100))
+    for r in matrix.collect():
+        m[r.i, r.j] = r.v
+    m = m @ m
+    m = np.where(m >= 1e-3, m, 0) ** 2
+    for j in range(100):
+        m[sorted(range(100), key=lambda i: (-m[i, j], i))[entries:], j] = 0  # noqa: B023
+    wanted = {(i, j): m[i, j] / m[:, j].sum() for i, j in zip(*m.nonzero(), strict=True)}
+    step = clustering.mcl_step(matrix, 2.0, 1e-3, entries)
+    found = {(r.i, r.j): r.v for r in step.collect()}
+    assert found == pytest.approx(wanted)
+    plan = step._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")] and "HashAggregate" not in plan[: plan.index("MapInArrow")]
