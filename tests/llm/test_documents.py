@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tyche.llm import decontamination, ngram_join, quality, secrets
 from tyche.llm.exact_dedup import directory, exact_duplicates
@@ -376,6 +377,46 @@ def test_long_candidates_are_read_to_their_end(spark, monkeypatch):
     assert last == len(text) - secrets.INSIDE and secrets.window(text + "; b", last, len(text))[-secrets.AFTER :][:1] == bytes([secrets.CLASS_OF[ord(";")]])
 
 
+def test_the_network_learns_from_every_document(spark):
+    """Keys in few of many documents: those that come last by the hash of their ids, which a sample of 4,000 would leave out."""
+    rng = random.Random(16)
+    words = vocabulary(rng, 300)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    ids = [r.id for r in spark.range(4600).orderBy(F.xxhash64("id")).collect()]
+    rows, bare = [], {}
+    for at, k in enumerate(ids):
+        text = rng.choices(words, k=20)
+        text[3] = draw("abcdefghijklmnop", 20)
+        if at >= 4000:
+            text[10] = f"token={draw('0123456789abcdef', 32)}"
+        elif at % 50 == 0:
+            bare[k] = text[10] = draw("0123456789ABCDEF", 32)
+        rows.append((k, " ".join(text)))
+    rows.append((None, rows[-1][1]))
+    docs = table(spark, rows)
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert np.mean(["net:" in spans[k] for k in bare]) >= 0.9
+    assert sum("net:" in x for k, x in spans.items() if k not in bare) <= 5
+    assert secrets.labelled(docs).agg(F.sum("n")).first()[0] == 4601 + 601 * 9 + len(bare)
+
+
+def test_all_held_out_windows_set_the_threshold(spark, monkeypatch):
+    """Several shards; the recall counts each window as often as it occurs, and tasks may get the rows in any way."""
+    monkeypatch.setattr(secrets, "SHARD", 1000)
+    rng = random.Random(17)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(k, f"see token={draw('0123456789abcdef', 20 + k % 20)} and {draw('abcdefghijklmnopqrstu', 20)} or {draw('abc0', 14)} there") for k in range(400)]
+    shown = secrets.labelled(table(spark, rows + rows[:60])).cache()
+    net, again = secrets.train(shown), secrets.train(shown.repartition(7))
+    assert np.array_equal(net.filters, again.filters) and net.threshold == again.threshold
+    held = shown.filter(F.pmod(F.xxhash64("token"), F.lit(3)) == 0).collect()
+    scores, n, y = net.scores([bytes(r.window) for r in held]), np.array([r.n for r in held]), np.array([r.label for r in held])
+    secret = np.repeat(scores[y == 1], n[y == 1])
+    assert net.recall == pytest.approx((secret >= net.threshold).mean()) and net.recall >= 0.99
+    lowest = np.sort(secret)[int(0.01 * len(secret))]
+    assert net.threshold <= lowest and (net.threshold == pytest.approx(lowest) or scores[y == 0].max() < net.threshold)
+
+
 def test_windows_show_every_character():
     for n in range(16, 200):
         starts = secrets.window_starts(7, 7 + n)
