@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
-from ..storage import fresh_path, kept
+from ..storage import fresh_path, kept, mapped
 
 __all__ = ["fresh_path", "kept", "mapped", "table"]
-#: Bytes of rows that a task hands to Python at once, unless the session says otherwise.
-BATCH_BYTES = "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` in batches of few bytes: rows of whole texts or blocks are large."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name, None) is None:
-        conf.set(name, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
