@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tyche.operators import clustering, reliability
 from tyche.operators.worlds import Worlds, world_edges
 
@@ -50,3 +53,32 @@ def test_only_the_clustering_that_stands_is_made(spark, monkeypatch):
     w.reach(1.0)
     assert clustering.greedy_at(w, 1.0, 3, 3, clustering.ALGORITHM_SEED, 0, 2)[1] == found.steps[0]["uncovered"]
     assert found.table.filter("center is null").isEmpty() and found.table.count() == w.vertices.count()
+
+
+@pytest.mark.parametrize(("listing", "cells", "part"), [(5, 1 << 17, 2000), (5, 40, 11), (0, 40, 11), (10**9, 1 << 17, 3)])
+def test_pairs_are_counted_by_bits_of_worlds_and_by_lists(spark, monkeypatch, listing, cells, part):
+    """Over two numbers of worlds, with components of all sizes and vertices that some worlds lack, against brute force."""
+    monkeypatch.setattr(reliability, "LISTED", 3)
+    monkeypatch.setattr(reliability, "LISTING", listing)
+    monkeypatch.setattr(reliability, "CELLS", cells)
+    monkeypatch.setattr(reliability, "PART", part)
+    rng, r = random.Random(8), 70
+    rows = [(w, v, rng.choices([0, 1, 2, 3 + v % 4, 100 + v], [9, 4, 2, 2, 3])[0] + 1000 * (v % 2)) for w in range(r) for v in range(30) if rng.random() < 0.95]
+    rows += [(w, 50 + v, 5000 + v // 2) for w in range(r) for v in range(4)]
+    wanted: dict = {}
+    for world in range(r):
+        here = sorted((v, c) for w, v, c in rows if w == world)
+        for (a, ca), (b, cb) in itertools.combinations(here, 2):
+            if ca == cb:
+                wanted[a, b] = wanted.get((a, b), 0) + 1
+    comps = spark.createDataFrame(rows, "world long, vertex long, comp long")
+    for least in (0.0, 0.25):
+        found = reliability.pair_counts(comps, r, least).collect()
+        assert {(x.a, x.b): x.n for x in found} == {k: n for k, n in wanted.items() if n / r >= least} and len(found) == len({(x.a, x.b) for x in found})
+
+
+def test_probabilities_of_pairs_are_looked_up(spark):
+    """Before, each pair of the result was rounded as a decimal number."""
+    found = entry.queries()["conn_prob_pairs"](spark, "/root/testdata/sf0.001")
+    assert "round(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert dict(found.dtypes) == {"a": "bigint", "b": "bigint", "probability": "double"}
